@@ -340,7 +340,7 @@ def _(fx):
 
 @query("capacity_drift", """
 WITH p AS (
-  SELECT p_partkey, p_size, p_partkey % 3 - 1 AS d, p_partkey % 5 AS u, p_partkey % 10 AS t FROM part
+  SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_partkey % 3 - 1 AS d, p_partkey % 5 AS u, p_partkey % 10 AS t FROM part
 ), v AS (
   SELECT *, CASE u WHEN 0 THEN p_size * 1073741824 WHEN 1 THEN p_size * 1000000000 WHEN 2 THEN p_size * 1048576 END AS big,
          CASE u WHEN 3 THEN p_size END AS milli FROM p

@@ -23,23 +23,20 @@ def octets(ip: Column) -> Column:
     return F.when(parts[0] != "", key)
 
 
-def is_global_unicast(ip: Column) -> Column:
-    """Valid address that is not unspecified, loopback, multicast, link-local or broadcast."""
-    first = F.regexp_extract(ip, IPV4, 1)
-    second = F.regexp_extract(ip, IPV4, 2)
-    octet = first.try_cast("int")
-    v4 = (
-        ip.rlike(IPV4_STRICT)
-        & ~octet.between(224, 239)
-        & (first != "127")
-        & ~((first == "169") & (second == "254"))
-        & ~ip.isin("0.0.0.0", "255.255.255.255")
-    )
-    low = F.lower(ip)
-    v6 = ip.rlike(IPV6) & ~(
-        low.rlike(r"^(0{0,4}:){1,7}0{0,3}[01]?$") | low.rlike(r"^ff") | low.rlike(r"^fe[89ab]")
-    )
-    return F.coalesce(v4 | v6, F.lit(False))
+# valid and not unspecified, loopback, multicast, link-local or broadcast; {ip} is the address
+_V4_OTHER = r"^(127\.|169\.254\.|22[4-9]\.|23\d\.|0\.0\.0\.0$|255\.255\.255\.255$)"
+_V6_OTHER = r"(?i)^((0{0,4}:)+0{0,3}[01]?$|ff|fe[89ab])"
+GLOBAL_UNICAST_SQL = (
+    "(CASE WHEN coalesce({ip}, '') = '' THEN false"
+    " WHEN contains({ip}, ':') THEN {ip} RLIKE r'" + IPV6.replace("{", "{{").replace("}", "}}") + "'"
+    " AND NOT {ip} RLIKE r'" + _V6_OTHER.replace("{", "{{").replace("}", "}}") + "'"
+    " ELSE {ip} RLIKE r'" + IPV4_STRICT + "' AND NOT {ip} RLIKE r'" + _V4_OTHER + "' END)"
+)
+
+
+def is_global_unicast(name: str) -> Column:
+    """Whether the named column holds an address that can be given to an instance."""
+    return F.expr(GLOBAL_UNICAST_SQL.format(ip=name))
 
 
 def instance_name(cluster: Column, ip: Column) -> Column:

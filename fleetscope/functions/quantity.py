@@ -2,19 +2,19 @@
 
 from pyspark.sql import Column, functions as F
 
-NUMBER = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
-PATTERN = NUMBER + r"(|[numkMGTPE]|[KMGTPE]i|[eE][+-]?[0-9]{1,2})$"
+PATTERN = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))(|[numkMGTPE]|[KMGTPE]i|[eE][+-]?[0-9]{1,2})$"
 RATE = r"([0-9.]+)(Ki|K|Mi|Gi|M|G|Ti|T)"
 
-# fixed values: multiplier of each suffix
+# fixed values: multiplier of each suffix, in billionths
 SCALE = {
-    "n": "0.000000001", "u": "0.000001", "m": "0.001", "": "1",
-    "k": "1000", "M": "1000000", "G": "1000000000", "T": "1000000000000",
-    "P": "1000000000000000", "E": "1000000000000000000",
-    "Ki": "1024", "Mi": "1048576", "Gi": "1073741824", "Ti": "1099511627776",
-    "Pi": "1125899906842624", "Ei": "1152921504606846976",
+    "n": 1, "u": 10**3, "m": 10**6, "": 10**9,
+    "k": 10**12, "M": 10**15, "G": 10**18, "T": 10**21, "P": 10**24, "E": 10**27,
+    "Ki": 2**10 * 10**9, "Mi": 2**20 * 10**9, "Gi": 2**30 * 10**9,
+    "Ti": 2**40 * 10**9, "Pi": 2**50 * 10**9, "Ei": 2**60 * 10**9,
 }
-_SCALE_TYPE = "decimal(19,0)"
+
+
+_TABLE = "map(" + ", ".join(f"'{k}', cast('{v}' as decimal(28,0))" for k, v in SCALE.items()) + ")"
 
 
 def is_quantity(text: Column) -> Column:
@@ -22,31 +22,25 @@ def is_quantity(text: Column) -> Column:
     return (F.coalesce(text, F.lit("")) == "") | text.rlike(PATTERN)
 
 
-def amount(text: Column) -> Column:
-    """Exact value as decimal(38,9); NULL when the text is blank or no quantity."""
-    number = F.regexp_extract(text, PATTERN, 1)
+def billionths(text: Column) -> Column:
+    """Exact value in billionths; NULL when the text is blank, no quantity or beyond decimal(38,6)."""
+    number = F.regexp_extract(text, PATTERN, 1).try_cast("decimal(18,6)")
     suffix = F.regexp_extract(text, PATTERN, 2)
-    base = number.try_cast("decimal(18,6)")
-    whole = F.lit(None).cast(_SCALE_TYPE)
-    for name, factor in SCALE.items():
-        if "." not in factor:
-            whole = F.when(suffix == name, F.lit(factor).cast(_SCALE_TYPE)).otherwise(whole)
-    exponent = F.regexp_extract(suffix, r"^[eE]([+-]?[0-9]{1,2})$", 1)
-    return (
-        F.when(~text.rlike(PATTERN), F.lit(None))
-        .when(suffix == "m", (base / 1000).cast("decimal(38,9)"))
-        .when(suffix == "u", (base / 1000000).cast("decimal(38,9)"))
-        .when(suffix == "n", (base / 1000000000).cast("decimal(38,9)"))
-        .when(exponent != "", (base.cast("double") * F.pow(F.lit(10.0), exponent.try_cast("int"))).try_cast("decimal(38,9)"))
-        .otherwise((base * whole).cast("decimal(38,9)"))
-    )
+    power = F.substring(suffix, 2, 3).try_cast("int")
+    scientific = (number.cast("double") * F.pow(F.lit(10.0), power + 9)).try_cast("decimal(38,6)")
+    exact = F.try_multiply(number, F.try_element_at(F.expr(_TABLE), suffix))
+    return F.coalesce(exact, F.when(F.length(suffix) > 1, scientific))
+
+
+def amount(text: Column) -> Column:
+    return (billionths(text) / F.lit(10**9)).cast("decimal(38,6)")
 
 
 def compare(left: Column, right: Column) -> Column:
-    """-1, 0 or 1; text without a valid quantity counts as zero."""
-    zero = F.lit(0).cast("decimal(38,9)")
-    a, b = F.coalesce(amount(left), zero), F.coalesce(amount(right), zero)
-    return F.when(a > b, 1).when(a < b, -1).otherwise(0)
+    """-1, 0 or 1; text without a valid quantity counts as zero. Equal texts are not parsed."""
+    zero = F.lit(0).cast("decimal(38,6)")
+    a, b = F.coalesce(billionths(left), zero), F.coalesce(billionths(right), zero)
+    return F.when(left == right, 0).when(a > b, 1).when(a < b, -1).otherwise(0)
 
 
 def network_rate(text: Column) -> Column:

@@ -87,31 +87,15 @@ def _pairs(prev: Column, curr: Column) -> list[tuple[str, str, Column, Column]]:
 
 def spec_diff(specs: DataFrame, key: list[str]) -> DataFrame:
     """One row per changed field; clusters that were never applied have no differences."""
-    fields = [
-        F.struct(F.lit(k).alias("class"), F.lit(n).alias("field"), old.alias("old_value"), new.alias("new_value"))
+    found = [
+        F.when(old != new, F.struct(
+            F.lit(k).alias("class"), F.lit(n).alias("field"), old.alias("old_value"), new.alias("new_value")))
         for k, n, old, new in _pairs(F.col("applied"), F.col("desired"))
     ]
-    changed = F.filter(F.array(*fields), lambda f: f["old_value"] != f["new_value"])
+    changed = F.array_compact(F.array(*found))
     return specs.where(~is_new()).select(*key, F.explode(changed).alias("d")).select(*key, "d.*")
 
 
-def change_flags(prev: Column, curr: Column) -> dict[str, Column]:
-    """Whether each class changed, plus the rollups ``resource`` and ``changed``."""
-    flags: dict[str, Column] = {}
-    for kind, _name, old, new in _pairs(prev, curr):
-        flags[kind] = flags[kind] | (old != new) if kind in flags else (old != new)
-    for rollup, kinds in {"resource": RESOURCE_CLASSES, "changed": CHANGED_CLASSES}.items():
-        flags[rollup] = _any([flags[k] for k in kinds])
-    return flags
-
-
-def _any(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
 def spec_change_flags(specs: DataFrame, key: list[str]) -> DataFrame:
     """One row per cluster with a flag per change class; all false for a new cluster but ``changed``.
 

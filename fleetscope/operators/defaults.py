@@ -65,18 +65,17 @@ def apply_defaults(
     config = maps.merged(have["config"], want["config"])
     new["config"] = config
     touched.append(maps.differ(want["config"], config))
-    schedule = want["schedule"]
+    schedule = {}
     for name, value in SCHEDULE_DEFAULTS.items():
         absent = F.coalesce(want["schedule"][name], F.lit(0)) == 0
         kind = "bigint" if name == "polling_period" else "int"
-        schedule = schedule.withField(
-            name, F.when(absent, F.lit(value).cast(kind)).otherwise(want["schedule"][name])
-        )
+        schedule[name] = F.when(absent, F.lit(value).cast(kind)).otherwise(want["schedule"][name])
         touched.append(absent)
-    new["schedule"] = schedule
-    filled = want
-    for name, value in new.items():
-        filled = filled.withField(name, value)
+    fields = specs.schema["desired"].dataType
+    new["schedule"] = F.struct(*[
+        schedule.get(n, want["schedule"][n]).alias(n) for n in fields["schedule"].dataType.fieldNames()
+    ])
+    filled = F.struct(*[new.get(n, want[n]).alias(n) for n in fields.fieldNames()])
     updated = touched[0]
     for t in touched[1:]:
         updated = updated | t

@@ -1,9 +1,13 @@
-"""Spec rules. Each spec row yields the array of its violations without any shuffle."""
+"""Spec rules. Each spec row yields the array of its violations without any shuffle.
+
+The rules are SQL text over the structs ``desired`` (d) and ``applied`` (a), so that the whole
+list is parsed once instead of being assembled call by call.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.net import is_global_unicast
-from ..functions.quantity import compare, is_quantity
+from ..functions.net import GLOBAL_UNICAST_SQL
+from ..functions.quantity import PATTERN, billionths
 from .catalogs import INTERNAL_PROPERTIES
 from .change import is_new
 
@@ -22,111 +26,113 @@ ATTACHED_SUBNETS = "attach_logical_switch_array"
 MESSAGE_PREFIX = "spec check failed: "
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
-
-
-def _violation(rule: str, cond: Column, field: str, value: Column = None) -> Column:
-    """Array with one entry, or empty."""
-    entry = F.struct(
-        F.lit(rule).alias("rule"), F.lit(field).alias("field"),
-        _text(F.lit("") if value is None else value.cast("string")).alias("value"),
+def _raw(pattern: str) -> str:
+    return "r'" + pattern + "'"
+
+
+def _in(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def _blank(field: str) -> str:
+    return f"coalesce(d.{field}, '') = ''"
+
+
+def _frozen(field: str) -> str:
+    return f"NOT _new AND NOT (d.{field} <=> a.{field})"
+
+
+def _sized(field: str, parse: str, low: str, shrink: str = None) -> list[tuple[str, str, str]]:
+    """Unreadable, below the minimum, or below what is applied. An absent or unreadable applied size is 0."""
+    rules = [
+        (parse, field, f"NOT {_blank(field)} AND NOT d.{field} RLIKE {_raw(PATTERN)}"),
+        (low, field, f"_q.{field} < _m.{field}"),
+    ]
+    if shrink:
+        rules.append((shrink, field, f"NOT _new AND _q.{field} >= _m.{field} AND _q.{field} < coalesce(_q.applied_{field}, 0)"))
+    return rules
+
+
+def _absolute(rule: str, field: str) -> tuple[str, str, str]:
+    return rule, field, f"NOT {_blank(field)} AND NOT startswith(d.{field}, '/')"
+
+
+# rule id, field, condition under which the field is wrong
+ROW_RULES = [
+    ("V01", "image", _blank("image")),
+    ("V02", "db_port", _frozen("db_port")),
+    ("V03", "secret_fingerprint", _frozen("secret_fingerprint")),
+    ("V04", "hostpath_root", _frozen("hostpath_root")),
+    ("V05", "storage_class", _frozen("storage_class")),
+    ("V06", "network_class", _frozen("network_class") + " AND coalesce(a.network_class, '') <> ''"),
+    ("V07", "local_role", "coalesce(d.local_role, '') NOT IN ('', 'primary', 'standby')"),
+    ("V08", "read_port", f"coalesce(d.read_port, 0) NOT BETWEEN {PORT_MIN} AND {PORT_MAX}"),
+    ("V09", "write_port", f"coalesce(d.write_port, 0) NOT BETWEEN {PORT_MIN} AND {PORT_MAX}"),
+    *_sized("cpu", "V10", "V11"),
+    *_sized("memory", "V12", "V13"),
+    *_sized("storage", "V14", "V15", "V16"),
+    ("V17", "bandwidth", f"NOT {_blank('bandwidth')} AND NOT d.bandwidth RLIKE {_raw(PATTERN)}"),
+    *_sized("sidecar_cpu", "V18", "V19"),
+    *_sized("sidecar_memory", "V20", "V21"),
+    *_sized("sidecar_storage", "V22", "V23", "V24"),
+    ("V25", "hostpath_root", f"NOT {_blank('hostpath_root')} AND NOT {_blank('storage_class')}"),
+    ("V26", "network_class", f"_new AND coalesce(d.network_class, '') NOT IN ('{SINGLE_NETWORK}', '{MULTI_NETWORK}')"),
+    ("V27", "annotations", f"_new AND d.network_class = '{MULTI_NETWORK}' AND NOT coalesce(map_contains_key(d.annotations, '{SUBNET}'), false)"),
+    _absolute("V28", "hostpath_root"),
+    _absolute("V29", "backup_path"),
+    _absolute("V30", "archive_log_path"),
+    ("V31", "ip_list", "coalesce(size(d.ip_list), 0) <= 0"),
+    ("V36", "remote_ip_list", "d.local_role = 'standby' AND coalesce(size(d.remote_ip_list), 0) <= 0"),
+    ("V39", "schedule", f"coalesce(d.network_class, '') <> '{MULTI_NETWORK}' AND (size(d.schedule.nodes) > 0 OR size(d.schedule.node_labels) > 0)"),
+]
+
+# rule id, field, elements, condition under which element e is wrong, value reported
+_MULTI = f"d.network_class = '{MULTI_NETWORK}' AND coalesce(e.extend_ip, '') <> ''"
+ELEMENT_RULES = [
+    ("V32", "ip_list", "d.ip_list", f"NOT {GLOBAL_UNICAST_SQL.format(ip='e.ip')}", "e.ip"),
+    ("V33", "extend_ip", "d.ip_list", f"{_MULTI} AND (NOT _notes_ok OR NOT {GLOBAL_UNICAST_SQL.format(ip='e.extend_ip')})", "e.extend_ip"),
+    ("V34", "extend_ip", "d.ip_list", f"d.network_class = '{SINGLE_NETWORK}' AND coalesce(e.extend_ip, '') <> ''", "e.extend_ip"),
+    ("V35", "remote_ip_list", "d.remote_ip_list", f"NOT {GLOBAL_UNICAST_SQL.format(ip='e')}", "e"),
+    ("V37", "config", "map_keys(d.config)", f"NOT _new AND e IN ({_in(INTERNAL_PROPERTIES)})", "e"),
+    ("V38", "customized_env", "map_keys(d.customized_env)", f"NOT e RLIKE {_raw(ENV_PREFIX)} OR e IN ({_in(RESERVED_ENV)})", "e"),
+]
+
+_NOTES_OK = f"""
+coalesce(size(from_json(d.annotations['{ATTACHED_SUBNETS}'], 'array<struct<networkname:string,subnetname:string>>')) = 1, false)
+AND from_json(d.annotations['{ATTACHED_NETWORKS}'], 'array<struct<name:string,namespace:string>>') IS NOT NULL
+"""
+# map and list fields report their elements, not themselves
+_NO_VALUE = ["annotations", "ip_list", "remote_ip_list", "schedule", "image"]
+
+
+def _entry(rule: str, field: str, value: str) -> str:
+    return f"named_struct('rule', '{rule}', 'field', '{field}', 'value', coalesce(string({value}), ''))"
+
+
+def _violations_sql() -> str:
+    rows = ", ".join(
+        f"CASE WHEN {cond} THEN {_entry(rule, field, repr('') if field in _NO_VALUE else f'd.{field}')} END"
+        for rule, field, cond in ROW_RULES
     )
-    return F.when(F.coalesce(cond, F.lit(False)), F.array(entry)).otherwise(_none())
-
-
-def _none() -> Column:
-    return F.array().cast("array<struct<rule:string,field:string,value:string>>")
-
-
-def _each(items: Column, rule: str, field: str, cond, value) -> Column:
-    """One entry per element that breaks the rule."""
-    bad = F.filter(items, lambda e: F.coalesce(cond(e), F.lit(False)))
-    return F.coalesce(
-        F.transform(bad, lambda e: F.struct(
-            F.lit(rule).alias("rule"), F.lit(field).alias("field"), _text(value(e)).alias("value"))),
-        _none(),
+    lists = ", ".join(
+        f"coalesce(transform(filter({items}, e -> coalesce({cond}, false)), e -> {_entry(rule, field, value)}), _none)"
+        for rule, field, items, cond, value in ELEMENT_RULES
     )
-
-
-def violations() -> Column:
-    want, have = F.col("desired"), F.col("applied")
-    new = is_new()
-    out = [_violation("V01", _text(want["image"]) == "", "image")]
-
-    def frozen(rule, field, extra=None):
-        cond = ~new & ~want[field].eqNullSafe(have[field])
-        out.append(_violation(rule, cond if extra is None else cond & extra, field, want[field]))
-
-    frozen("V02", "db_port")
-    frozen("V03", "secret_fingerprint")
-    frozen("V04", "hostpath_root")
-    frozen("V05", "storage_class")
-    frozen("V06", "network_class", _text(have["network_class"]) != "")
-    out.append(_violation("V07", ~_text(want["local_role"]).isin("", "primary", "standby"), "local_role", want["local_role"]))
-    out.append(_violation("V08", ~want["read_port"].between(PORT_MIN, PORT_MAX), "read_port", want["read_port"]))
-    out.append(_violation("V09", ~want["write_port"].between(PORT_MIN, PORT_MAX), "write_port", want["write_port"]))
-
-    def sized(field, parse_rule, minimum_rule, shrink_rule=None):
-        value = _text(want[field])
-        ok = is_quantity(value) & (value != "")
-        small = compare(value, F.lit(MINIMUM[field])) < 0
-        out.append(_violation(parse_rule, ~is_quantity(value), field, value))
-        out.append(_violation(minimum_rule, ok & small, field, value))
-        if shrink_rule:
-            out.append(_violation(shrink_rule, ok & ~small & ~new & (compare(value, have[field]) < 0), field, value))
-
-    sized("cpu", "V10", "V11")
-    sized("memory", "V12", "V13")
-    sized("storage", "V14", "V15", "V16")
-    out.append(_violation("V17", ~is_quantity(want["bandwidth"]), "bandwidth", want["bandwidth"]))
-    sized("sidecar_cpu", "V18", "V19")
-    sized("sidecar_memory", "V20", "V21")
-    sized("sidecar_storage", "V22", "V23", "V24")
-    hostpath, network = _text(want["hostpath_root"]), _text(want["network_class"])
-    out.append(_violation("V25", (hostpath != "") & (_text(want["storage_class"]) != ""), "hostpath_root", hostpath))
-    out.append(_violation("V26", new & ~network.isin(SINGLE_NETWORK, MULTI_NETWORK), "network_class", network))
-    notes = F.coalesce(want["annotations"], F.create_map().cast("map<string,string>"))
-    out.append(_violation(
-        "V27", new & (network == MULTI_NETWORK) & ~F.map_contains_key(notes, F.lit(SUBNET)), "annotations"))
-    for rule, field in (("V28", "hostpath_root"), ("V29", "backup_path"), ("V30", "archive_log_path")):
-        path = _text(want[field])
-        out.append(_violation(rule, (path != "") & ~path.startswith("/"), field, path))
-    members = F.coalesce(want["ip_list"], F.array().cast("array<struct<ip:string,node_name:string,extend_ip:string>>"))
-    out.append(_violation("V31", F.size(members) == 0, "ip_list"))
-    out.append(_each(members, "V32", "ip_list", lambda e: ~is_global_unicast(_text(e["ip"])), lambda e: e["ip"]))
-    subnets = F.from_json(F.try_element_at(notes, F.lit(ATTACHED_SUBNETS)), "array<struct<networkname:string,subnetname:string>>")
-    networks = F.from_json(F.try_element_at(notes, F.lit(ATTACHED_NETWORKS)), "array<struct<name:string,namespace:string>>")
-    noted = F.map_contains_key(notes, F.lit(ATTACHED_NETWORKS)) & F.map_contains_key(notes, F.lit(ATTACHED_SUBNETS))
-    well_formed = noted & F.coalesce(F.size(subnets) == 1, F.lit(False)) & networks.isNotNull()
-    second = lambda e: (network == MULTI_NETWORK) & (_text(e["extend_ip"]) != "")
-    out.append(_each(
-        members, "V33", "extend_ip",
-        lambda e: second(e) & (~is_global_unicast(_text(e["extend_ip"])) | ~well_formed), lambda e: e["extend_ip"]))
-    out.append(_each(
-        members, "V34", "extend_ip",
-        lambda e: (network == SINGLE_NETWORK) & (_text(e["extend_ip"]) != ""), lambda e: e["extend_ip"]))
-    remote = F.coalesce(want["remote_ip_list"], F.array().cast("array<string>"))
-    out.append(_each(remote, "V35", "remote_ip_list", lambda ip: ~is_global_unicast(_text(ip)), lambda ip: ip))
-    out.append(_violation("V36", (want["local_role"] == "standby") & (F.size(remote) == 0), "remote_ip_list"))
-
-    def keys(m):
-        return F.coalesce(F.array_sort(F.map_keys(m)), F.array().cast("array<string>"))
-
-    out.append(_each(keys(want["config"]), "V37", "config", lambda k: ~new & k.isin(INTERNAL_PROPERTIES), lambda k: k))
-    out.append(_each(
-        keys(want["customized_env"]), "V38", "customized_env",
-        lambda k: ~F.rlike(k, F.lit(ENV_PREFIX)) | k.isin(RESERVED_ENV), lambda k: k))
-    schedule = want["schedule"]
-    out.append(_violation(
-        "V39", (network != MULTI_NETWORK)
-        & ((F.coalesce(F.size(schedule["nodes"]), F.lit(0)) > 0)
-           | (F.coalesce(F.size(schedule["node_labels"]), F.lit(0)) > 0)), "schedule"))
-    return F.flatten(F.array(*out))
+    return f"array_sort(concat(array_compact(array({rows})), {lists}))"
 
 
 def with_violations(specs: DataFrame) -> DataFrame:
-    return specs.withColumn("violations", violations())
+    """Add ``violations``. Sizes and annotations are parsed once per row, before the rules read them."""
+    want, have = F.col("desired"), F.col("applied")
+    sizes = {f: billionths(want[f]) for f in MINIMUM}
+    sizes |= {f"applied_{f}": billionths(have[f]) for f in ("storage", "sidecar_storage")}
+    prepared = specs.select(
+        "*", want.alias("d"), have.alias("a"), is_new().alias("_new"),
+        F.struct(*[c.alias(n) for n, c in sizes.items()]).alias("_q"),
+        F.struct(*[billionths(F.lit(v)).alias(n) for n, v in MINIMUM.items()]).alias("_m"),
+        F.expr("cast(array() as array<struct<rule:string,field:string,value:string>>)").alias("_none"),
+    ).withColumn("_notes_ok", F.expr(_NOTES_OK))
+    return prepared.select(*specs.columns, F.expr(_violations_sql()).alias("violations"))
 
 
 def validate_specs(specs: DataFrame, key: list[str]) -> DataFrame:
