@@ -12,21 +12,32 @@ FLAG_NAMES = {
     "f_normal": "chkrepl", "build_code": "buildstatus", "backup_code": "basebackup", "restore_code": "restore",
     "detail": "detailinfo",
 }
+# columns the row predicates and the summary line read
+STATE = ["chkprocess", "chkconn", "chkrepl", "pending", "standalone", "hang"]
+SUMMARY = [
+    "chkprocess", "chkconn", "chkrepl", "maintenance", "primary", "standby", "pending", "standalone", "buildstatus",
+    "basebackup", "restore", "connections", "detailinfo",
+]
 ORDER = ["probe_ts", "k1", "k2", "k3", "k4"]
 
 
-def probes(fx) -> DataFrame:
-    """Latest probe of every instance."""
-    return latest_snapshot(fx("fx_probe").withColumnsRenamed(FLAG_NAMES), ["cluster_id", "slot"], ORDER)
+def probes(fx, *columns: str) -> DataFrame:
+    """Latest probe of every instance. Named columns only: what is not named is not read or sorted."""
+    rows = fx("fx_probe").withColumnsRenamed(FLAG_NAMES)
+    if columns:
+        rows = rows.select("cluster_id", "slot", *ORDER, *[c for c in columns if c not in ORDER])
+    return latest_snapshot(rows, ["cluster_id", "slot"], ORDER)
 
 
 def sync(fx) -> DataFrame:
     """Latest replication state of every instance."""
-    return latest_snapshot(fx("fx_sync"), ["cluster_id", "slot"], ORDER)
+    rows = fx("fx_sync").select("cluster_id", "slot", *ORDER, "ip", "state", "priority")
+    return latest_snapshot(rows, ["cluster_id", "slot"], ORDER)
 
 
 def candidates(fx) -> DataFrame:
-    return probes(fx).withColumns({
+    facts = ("ip", "primary", "standby", "chkrepl", "chkprocess", "connections", "phase", "lsn_text")
+    return probes(fx, *facts).withColumns({
         "lsn": position(F.col("lsn_text")), "pos": F.col("slot"),
         "is_primary": F.col("primary") == 1, "is_standby": F.col("standby") == 1, "is_normal": F.col("chkrepl") == 1,
     })

@@ -58,7 +58,7 @@ SELECT cluster_id, slot, role_tag FROM ox_latest
 WHERE role_tag IS NULL OR (f_primary = 1 AND role_tag <> 'primary') OR (f_standby = 1 AND role_tag <> 'standby')
 """)
 def _(fx):
-    latest = probes(fx)
+    latest = probes(fx, "role_tag", "primary", "standby")
     instances = latest.select("cluster_id", "slot", "role_tag")
     states = latest.select("cluster_id", "slot", "primary", "standby")
     found = label_role_mismatch(instances, states, ["cluster_id", "slot"], label_mismatch(F.col("role_tag")))
@@ -70,7 +70,7 @@ SELECT p.cluster_id, p.ip FROM ox_latest p JOIN ox_sync s ON p.cluster_id = s.cl
 WHERE p.f_standby = 1 AND s.state = 'Sync'
 """)
 def _(fx):
-    standbys = probes(fx).where("standby = 1").select("cluster_id", "ip")
+    standbys = probes(fx, "ip", "standby").where("standby = 1").select("cluster_id", "ip")
     return sync_standbys(standbys, sync(fx), ["cluster_id", "ip"])
 
 
@@ -81,7 +81,7 @@ WHERE s.state = 'Sync' OR p.ip = c.recorded_primary
 """)
 def _(fx):
     primary = fx("fx_cluster").select("cluster_id", F.col("recorded_primary").alias("ip"))
-    return complete_instances(probes(fx).select("cluster_id", "ip"), sync(fx), primary, KEY)
+    return complete_instances(probes(fx, "ip").select("cluster_id", "ip"), sync(fx), primary, KEY)
 
 
 @query("missing_artifacts", """
@@ -211,7 +211,7 @@ SELECT cluster_id, slot FROM ox_latest WHERE phase = 'Pending' AND EXISTS (
   SELECT 1 FROM fx_probe e WHERE e.cluster_id = ox_latest.cluster_id AND e.slot = ox_latest.slot AND e.k2 % 4 < 2)
 """)
 def _(fx):
-    pending = probes(fx).where("phase = 'Pending'").select("cluster_id", "slot")
+    pending = probes(fx, "phase").where("phase = 'Pending'").select("cluster_id", "slot")
     return mount_failures(pending, fx("fx_mount_event"), ["cluster_id", "slot"])
 
 
@@ -229,7 +229,7 @@ SELECT *, CASE WHEN running = desired THEN 'complete' WHEN running = 0 AND exemp
        WHEN running > 0 AND running + exempt = desired THEN 'form_without_failed' ELSE 'wait' END AS verdict FROM c
 """)
 def _(fx):
-    instances = probes(fx).select(
+    instances = probes(fx, "ip", "phase", "port_open").select(
         "cluster_id", "ip", "phase", ((F.col("phase") == "Running") & F.col("port_open")).alias("ready"),
         (F.col("k1") % 1000).alias("age_s"))
     events = fx("fx_probe").select(

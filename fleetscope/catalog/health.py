@@ -7,7 +7,7 @@ from ..operators.health import (
     primary_cardinality, replica_sync_gap,
 )
 from ..operators.predicates import state_summary
-from .common import KEY, probes, sync
+from .common import KEY, SUMMARY, probes, sync
 from .drift import named_clusters
 from .registry import query, view
 
@@ -61,7 +61,7 @@ def _(fx):
 
 
 def health_of(fx):
-    latest = probes(fx)
+    latest = probes(fx, "ip", "phase", "port_open", "role_tag", "hang", *SUMMARY)
     recorded = F.when(F.col("k2") % 2 == 0, state_summary()).otherwise("older")
     instances = latest.select("cluster_id", "ip", *instance_condition(F.col("role_tag"), recorded, state_summary()))
     return cluster_health(named_clusters(fx), fx("fx_member"), instances, fx("fx_artifact"), KEY)
@@ -79,7 +79,7 @@ SELECT c.cluster_id, coalesce(n, 0) AS primaries,
 FROM fx_cluster c LEFT JOIN p USING (cluster_id)
 """)
 def _(fx):
-    latest = probes(fx).select("cluster_id", "ip", (F.col("primary") == 1).alias("is_primary"))
+    latest = probes(fx, "ip", "primary").select("cluster_id", "ip", (F.col("primary") == 1).alias("is_primary"))
     return primary_cardinality(fx("fx_cluster"), fx("fx_member"), latest, KEY)
 
 
@@ -118,7 +118,7 @@ SELECT k.cluster_id, k.ip, coalesce(i.s, 'unknown') AS node_state FROM k LEFT JO
 def _(fx):
     state = F.concat("phase", F.lit("/"), F.coalesce("role_tag", F.lit("")))
     name = F.concat(F.lit("og-"), "cluster_id", F.lit("-pod-"), F.replace("ip", F.lit("."), F.lit("x")))
-    instances = probes(fx).select(
+    instances = probes(fx, "ip", "phase", "role_tag").select(
         "cluster_id", name.alias("name"), F.when(F.col("phase") == "Running", F.col("ip")).otherwise("").alias("ip"),
         state.alias("node_state"))
     named = fx("fx_member").withColumn("cluster_name", F.col("cluster_id"))
@@ -136,6 +136,6 @@ SELECT cluster_id, count(*) FILTER (WHERE w) AS desired, count(*) FILTER (WHERE
 FROM j GROUP BY 1
 """)
 def _(fx):
-    instances = probes(fx).select(
+    instances = probes(fx, "ip", "phase", "port_open").select(
         "cluster_id", "ip", ((F.col("phase") == "Running") & F.col("port_open")).alias("ready"))
     return all_members_ready(fx("fx_member"), instances, KEY)

@@ -16,7 +16,7 @@ from ..sources.fleet import with_labels
 from ..sources.logs import assemble_multiline, month_counts, tag_lines
 from ..sources.probes import parse_probe
 from ..sources.reports import parse_lsn, parse_replication
-from .common import day, month, probes
+from .common import STATE, SUMMARY, day, month, probes
 from .registry import query
 
 
@@ -185,7 +185,7 @@ SELECT cluster_id, slot FROM ox_latest
 WHERE f_process <> 1 OR f_conn <> 1 OR f_normal <> 1 OR f_pending = 1 OR f_standalone = 1 OR f_hang = 1
 """)
 def _(fx):
-    return probes(fx).where(needs_configure()).select("cluster_id", "slot")
+    return probes(fx, *STATE).where(needs_configure()).select("cluster_id", "slot")
 
 
 @query("instance_condition_flags", """
@@ -195,7 +195,7 @@ SELECT cluster_id, slot, f_normal <> 1 AND detail IN ('Disconnected', 'Connectin
 FROM ox_latest
 """)
 def _(fx):
-    return probes(fx).select(
+    return probes(fx, *STATE, "detailinfo", "phase", "port_open").select(
         "cluster_id", "slot", is_disconnected().alias("disconnected"), is_ready().alias("ready"),
         needs_configure().alias("unconfigured"))
 
@@ -206,7 +206,7 @@ SELECT cluster_id, slot, CASE WHEN f_primary = 1 THEN 'Primary' WHEN f_standby =
 FROM ox_latest
 """)
 def _(fx):
-    return probes(fx).select("cluster_id", "slot", role_label().alias("role"))
+    return probes(fx, "primary", "standby", "pending", "standalone").select("cluster_id", "slot", role_label().alias("role"))
 
 
 @query("decode_status", """
@@ -234,7 +234,7 @@ SELECT cluster_id, slot, format('[Local Role: {}, Process exist: {}, Connection
 FROM ox_latest
 """)
 def _(fx):
-    return probes(fx).select("cluster_id", "slot", state_summary().alias("summary"))
+    return probes(fx, *SUMMARY).select("cluster_id", "slot", state_summary().alias("summary"))
 
 
 @query("idle_transactions", """

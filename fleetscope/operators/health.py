@@ -42,13 +42,16 @@ def cluster_health(
     carries partial counts, so a very large cluster is no larger than a small one.
     """
     flags = ["not_running", "in_maintenance", "unconfigured", "mislabelled", "runs_primary", "state_changed"]
-    wanted = members.select(*key, "ip", F.lit(1).alias("w"), F.lit(0).alias("s"))
-    seen = instances.select(
-        *key, "ip", F.lit(0).alias("w"), F.lit(1).alias("s"), *[F.col(f).cast("int").alias(f) for f in flags]
-    )
-    per_instance = wanted.unionByName(seen, allowMissingColumns=True).groupBy(*key, "ip").agg(
-        F.max("w").alias("w"), F.max("s").alias("s"), *[F.coalesce(F.max(f), F.lit(0)).alias(f) for f in flags]
+    wanted = members.select(*key, "ip", F.lit(1).alias("w"))
+    seen = instances.select(*key, "ip", F.lit(1).alias("s"), *[F.col(f).cast("int").alias(f) for f in flags])
+    recorded = clusters.where(F.coalesce("recorded_primary", F.lit("")) != "").select(
+        *key, F.col("recorded_primary").alias("ip"), F.lit(1).alias("r")
     )
+    rows = wanted.unionByName(seen, allowMissingColumns=True).unionByName(recorded, allowMissingColumns=True)
+    # only numbers are aggregated from here on, so every step is a hash aggregate
+    per_instance = rows.groupBy(*key, "ip").agg(*[
+        F.coalesce(F.max(f), F.lit(0)).alias(f) for f in ["w", "s", "r", *flags]
+    ])
     primary = F.col("runs_primary") == 1
     per_cluster = per_instance.groupBy(*key).agg(
         F.count_if(F.expr("w = 1 AND s = 0")).alias("members_missing"),
@@ -58,8 +61,8 @@ def cluster_health(
         F.sum("mislabelled").alias("mislabelled"),
         F.sum("state_changed").alias("state_changed"),
         F.sum("runs_primary").alias("primaries"),
-        F.min(F.when(primary, F.col("ip"))).alias("primary_ip"),
-        F.max(primary & (F.col("w") == 1)).alias("primary_is_member"),
+        F.count_if(primary & (F.col("w") == 1)).alias("member_primaries"),
+        F.count_if(primary & (F.col("r") == 1)).alias("recorded_primaries"),
     )
     facts = clusters.join(per_cluster, key, "left")
     if artifacts is None:
@@ -75,14 +78,14 @@ def cluster_health(
         "members_missing", "members_beyond", "not_ready", "in_maintenance", "mislabelled", "state_changed",
         "primaries", "artifacts_missing",
     ]
-    facts = facts.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in counts})
+    facts = facts.withColumns({
+        c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in [*counts, "member_primaries", "recorded_primaries"]
+    })
     role_primary = F.coalesce(F.col("local_role"), F.lit("")).isin("", "primary")
     drift = (F.col("members_missing") + F.col("members_beyond")) > 0
     wrong_primary = F.when(
         role_primary,
-        (F.col("primaries") != 1)
-        | ~F.coalesce(F.col("primary_is_member"), F.lit(False))
-        | ~F.col("primary_ip").eqNullSafe(F.col("recorded_primary")),
+        (F.col("primaries") != 1) | (F.col("member_primaries") != 1) | (F.col("recorded_primaries") != 1),
     ).otherwise(F.col("primaries") != 0)
     causes = {
         "maintenance": F.col("in_maintenance") > 0,
