@@ -246,23 +246,11 @@ def _(fx):
     return spec_change_flags(specs(fx), KEY)
 
 
-def config_maps(fx):
-    """Settings of a cluster as two maps; the rows of a cluster are few fixed properties."""
-    pairs = F.collect_list(F.struct("prop", "curr_value", "prev_value"))
-    rows = fx("fx_config").groupBy("cluster_id").agg(pairs.alias("p"))
-
-    def side(name):
-        held = F.filter("p", lambda e: e[name].isNotNull())
-        return F.map_from_entries(F.transform(held, lambda e: F.struct(e["prop"], e[name])))
-
-    return rows.select("cluster_id", side("prev_value").alias("applied_config"), side("curr_value").alias("desired_config"))
-
-
 @query("config_delta", """
 SELECT cluster_id, prop, curr_value AS value FROM fx_config WHERE curr_value IS NOT NULL AND curr_value IS DISTINCT FROM prev_value
 """)
 def _(fx):
-    return config_delta(config_maps(fx), KEY)
+    return config_delta(fx("fx_config"), KEY)
 
 
 @query("config_effective", """
@@ -271,7 +259,7 @@ WHERE coalesce(curr_value, prev_value) IS NOT NULL
   AND cluster_id IN (SELECT cluster_id FROM fx_config WHERE curr_value IS NOT NULL)
 """)
 def _(fx):
-    return config_effective(config_maps(fx), KEY)
+    return config_effective(fx("fx_config"), KEY)
 
 
 view("ox_action", """

@@ -173,11 +173,7 @@ def _(fx):
     specs = fx("fx_env_spec").select("cluster_id", F.create_map("key1", "val1", "key2", "val2").alias("env"))
     instances = fx("fx_env_inst").select(
         "instance_id", "cluster_id", "container", F.create_map("name1", "env1", "name2", "env2").alias("container_env"))
-    joined = instances.withColumnRenamed("cluster_id", "c")
-    wide = joined.join(specs, F.col("c") == F.col("cluster_id")).drop("c")
-    return env_drift(
-        wide.select("instance_id", "cluster_id", "container", "container_env"),
-        wide.select("instance_id", "cluster_id", "env"), ["instance_id", "cluster_id"])
+    return env_drift(instances, specs, KEY, ("instance_id",))
 
 
 @query("extend_ip_drift", """

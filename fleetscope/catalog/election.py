@@ -6,14 +6,12 @@ The SQL ranks candidates row by row with window functions; the operators aggrega
 from pyspark.sql import functions as F
 
 from ..operators.election import (
-    elect_by_lsn, failover_choice, order_by_spec, rebuild_source, resolve_multi_primary, scale_in_plan, upgrade_plan,
+    elect_by_lsn, failover_choice, mark_recorded, order_by_spec, rebuild_source, resolve_multi_primary, scale_in_plan, upgrade_plan,
 )
 from .common import KEY, candidates, sync
 from .registry import query
 
-OCTETS = (
-    "[CAST(x AS INT) FOR x IN string_split(ip, '.')]"
-)
+OCTETS = "[CAST(x AS INT) FOR x IN string_split(ip, '.')]"
 
 
 def ranked(cond: str, states: str, extra: str = "", priority: str = "coalesce(priority, 0)") -> str:
@@ -36,8 +34,8 @@ FROM (SELECT cluster_id, count(*) AS candidates FROM ox_cand WHERE f_standby = 1
 LEFT JOIN ({ranked('f_standby = 1', 'has_states', "ip = recorded_primary")}) w USING (cluster_id)
 """)
 def _(fx):
-    rows = candidates(fx).where("is_standby").join(fx("fx_cluster").select("cluster_id", "recorded_primary"), "cluster_id")
-    return elect_by_lsn(rows, sync(fx), KEY, "recorded_primary")
+    rows = mark_recorded(candidates(fx).where("is_standby"), fx("fx_cluster"), KEY)
+    return elect_by_lsn(rows, sync(fx), KEY, F.col("is_recorded"))
 
 
 _standby = "(ip <> recorded_primary AND (f_standby = 1 OR f_process = 1))"

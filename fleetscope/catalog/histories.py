@@ -95,7 +95,7 @@ FROM ox_sync
 """)
 def _(fx):
     rows = sync(fx).select("cluster_id", "slot", "priority", "state")
-    return sync_by_priority(rows, ["cluster_id"], ["slot"], F.col("priority"))
+    return sync_by_priority(rows, ["cluster_id"], ["slot"], F.struct("priority", F.floor(F.col("slot") / 1000)))
 
 
 @query("fullest_volumes", """

@@ -119,27 +119,22 @@ def spec_change_flags(specs: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def config_delta(specs: DataFrame, key: list[str]) -> DataFrame:
-    """Settings that are new or changed; removed settings are not reported."""
-    changed = maps.changed(F.col("applied_config"), F.col("desired_config"))
-    return specs.select(*key, F.explode(changed).alias("prop", "value"))
+def config_delta(settings: DataFrame, key: list[str]) -> DataFrame:
+    """Settings that are new or changed; removed settings are not reported.
 
-
-def config_effective(specs: DataFrame, key: list[str]) -> DataFrame:
-    """Applied settings overlaid with the wanted ones, when any are wanted."""
-    merged = maps.merged(F.col("applied_config"), F.col("desired_config"))
-    return specs.select(*key, F.explode(merged).alias("prop", "value"))
-
-
-def config_delta_rows(settings: DataFrame, key: list[str]) -> DataFrame:
-    """``config_delta`` over one row per setting: key, ``prop``, ``prev_value``, ``curr_value``."""
+    One row per setting: key, ``prop``, ``prev_value`` (applied), ``curr_value`` (wanted). The
+    map form of a single spec is ``maps.changed``.
+    """
     return settings.where(
         F.col("curr_value").isNotNull() & ~F.col("curr_value").eqNullSafe(F.col("prev_value"))
     ).select(*key, "prop", F.col("curr_value").alias("value"))
 
 
-def config_effective_rows(settings: DataFrame, key: list[str]) -> DataFrame:
-    """``config_effective`` over one row per setting; keys without a wanted setting give nothing."""
+def config_effective(settings: DataFrame, key: list[str]) -> DataFrame:
+    """Applied settings overlaid with the wanted ones; nothing for a key that wants none.
+
+    The map form of a single spec is ``maps.merged``.
+    """
     wanted = settings.where(F.col("curr_value").isNotNull()).select(*key).distinct()
     return settings.join(wanted, key, "left_semi").select(
         *key, "prop", F.coalesce("curr_value", "prev_value").alias("value")

@@ -146,11 +146,11 @@ def instance_spec_drift(clusters: DataFrame, instances: DataFrame, key: list[str
     )
 
 
-def env_drift(instances: DataFrame, specs: DataFrame, key: list[str]) -> DataFrame:
+def env_drift(instances: DataFrame, specs: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Containers whose environment differs from the wanted one.
 
-    specs: key, ``env`` map with keys ``<container>_<NAME>``; instances: key, ``container``,
-    ``container_env`` map. A wanted key must be met by a variable whose name occurs in the key,
+    specs: key, ``env`` map with keys ``<container>_<NAME>``; instances: key, ``keep`` columns,
+    ``container``, ``container_env`` map. A wanted key must be met by a variable whose name occurs in the key,
     and every such variable must have the wanted value; a variable that is neither built in
     nor wanted is drift. The two maps meet in one row, so nothing is paired across rows.
     """
@@ -170,7 +170,7 @@ def env_drift(instances: DataFrame, specs: DataFrame, key: list[str]) -> DataFra
     )
     return (
         instances.join(specs, key)
-        .select(*key, "container", missing.alias("missing"), changed.alias("changed"), extra.alias("extra"))
+        .select(*key, *keep, "container", missing.alias("missing"), changed.alias("changed"), extra.alias("extra"))
         .where("missing OR changed OR extra")
     )
 
@@ -216,7 +216,9 @@ def has_mount_reason(reason: Column) -> Column:
 
 
 def mount_failures(instances: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
-    return instances.join(events.where(has_mount_reason(F.col("reason"))).select(*key), key, "left_semi")
+    """Instances with such an event. Their many repeats are dropped before the join."""
+    named = events.where(has_mount_reason(F.col("reason"))).select(*key).distinct()
+    return instances.join(named, key, "left_semi")
 
 
 def mount_wait_exemption(

@@ -9,8 +9,12 @@ be asked for is left out.
 Every choice is a set of conditional ``min(struct)`` aggregates in one groupBy, so candidates
 are reduced on the map side and a cluster of any size costs one row per task in the shuffle.
 
-Candidate rows: key columns, ``ip``, ``pos`` (observed order), ``lsn`` (struct or NULL),
-``priority`` (NULL when not listed).
+Facts of an instance (replication state, being the recorded primary) are joined on key and ip,
+which spreads the instances of one very large cluster over all tasks. Facts of a cluster (its
+role) are joined only after the reduction, one row per cluster; where they decide who may win,
+both elections are tallied and one is picked.
+
+Candidate rows: key columns, ``ip``, ``pos`` (observed order), ``lsn`` (struct or NULL).
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -49,10 +53,19 @@ def winner(name: str, has_priorities: Column) -> Column:
     )
 
 
-def with_sync(instances: DataFrame, sync: DataFrame, key: list[str]) -> DataFrame:
-    """Attach the recorded replication state of each instance (``sync`` has one row per key and ip)."""
+def with_facts(instances: DataFrame, sync: DataFrame, clusters: DataFrame | None, key: list[str]) -> DataFrame:
+    """Attach ``sync_state`` and ``priority`` (``sync`` has one row per key and ip) and ``is_recorded``."""
     known = sync.select(*key, "ip", F.col("state").alias("sync_state"), "priority")
-    return instances.join(known, [*key, "ip"], "left")
+    rows = instances.join(known, [*key, "ip"], "left")
+    if clusters is None:
+        return rows
+    return mark_recorded(rows, clusters, key)
+
+
+def mark_recorded(instances: DataFrame, clusters: DataFrame, key: list[str]) -> DataFrame:
+    """Add ``is_recorded``: the instance is the recorded primary of its cluster."""
+    recorded = clusters.select(*key, F.col("recorded_primary").alias("ip"), F.lit(True).alias("is_recorded"))
+    return instances.join(recorded, [*key, "ip"], "left").withColumn("is_recorded", F.coalesce("is_recorded", F.lit(False)))
 
 
 def priority_flags(sync: DataFrame, key: list[str]) -> DataFrame:
@@ -66,10 +79,13 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
-def elect_by_lsn(candidates: DataFrame, sync: DataFrame, key: list[str], preference: str = None) -> DataFrame:
+def _synced() -> Column:
+    return F.coalesce(F.col("sync_state"), F.lit("")) == "Sync"
+
+
+def elect_by_lsn(candidates: DataFrame, sync: DataFrame, key: list[str], preferred: Column = None) -> DataFrame:
     """Winner per cluster; clusters whose candidates all fail the rules report ``no_candidate``."""
-    preferred = None if preference is None else F.col("ip") == F.col(preference)
-    tallies = with_sync(candidates, sync, key).groupBy(*key).agg(*votes("all", F.lit(True), preferred))
+    tallies = with_facts(candidates, sync, None, key).groupBy(*key).agg(*votes("all", F.lit(True), preferred))
     chosen = tallies.join(priority_flags(sync, key), key, "left").withColumn(
         "winner", winner("all", _flag("has_states"))
     )
@@ -83,24 +99,22 @@ def failover_choice(clusters: DataFrame, instances: DataFrame, sync: DataFrame,
     """What to do for primary-role clusters that run without a primary.
 
     clusters: key, ``local_role``, ``recorded_primary``, ``is_new``, ``role_changed``
-    instances: key, ``ip``, ``pos``, ``lsn``, ``is_primary``, ``is_standby``, ``has_repl_config``,
+    instances: candidate columns, ``is_primary``, ``is_standby``, ``has_repl_config``,
     ``startable`` (another role that can be started as a standby)
     """
-    rows = with_sync(instances, sync, key).join(
-        clusters.where("local_role = 'primary'").select(*key, "recorded_primary", "is_new", "role_changed"), key
-    )
+    rows = with_facts(instances, sync, clusters, key)
     # only entries in state Sync lend a priority here
-    rows = rows.withColumn("priority", F.when(F.col("sync_state") == "Sync", F.col("priority")))
-    recorded = F.col("ip").eqNullSafe(F.col("recorded_primary"))
-    standby = ~recorded & (F.col("is_standby") | F.col("startable"))
-    tallies = rows.groupBy(*key, "recorded_primary", "is_new", "role_changed").agg(
+    rows = rows.withColumn("priority", F.when(_synced(), F.col("priority")))
+    standby = ~F.col("is_recorded") & (F.col("is_standby") | F.col("startable"))
+    tallies = rows.groupBy(*key).agg(
         F.max("is_primary").alias("has_primary"),
-        F.max(recorded & F.col("has_repl_config")).alias("recorded_usable"),
+        F.max(F.col("is_recorded") & F.col("has_repl_config")).alias("recorded_usable"),
         F.min(F.struct("pos", "ip")).alias("first_seen"),
         *votes("standby", standby),
-        *votes("synced", standby & (F.coalesce(F.col("sync_state"), F.lit("")) == "Sync")),
+        *votes("synced", standby & _synced()),
     ).where(~F.col("has_primary"))
-    chosen = tallies.join(priority_flags(sync, key), key, "left")
+    roles = clusters.where("local_role = 'primary'").select(*key, "recorded_primary", "is_new", "role_changed")
+    chosen = tallies.join(roles, key).join(priority_flags(sync, key), key, "left")
     by_sync = _flag("has_sync") & ~F.col("is_new")
     policy = (
         F.when(F.col("recorded_usable"), "restart_recorded")
@@ -126,14 +140,12 @@ def resolve_multi_primary(clusters: DataFrame, primaries: DataFrame, sync: DataF
 
     clusters: key, ``local_role``, ``recorded_primary``; primaries: candidate rows in primary role
     """
-    roles = clusters.select(*key, "local_role", "recorded_primary")
-    rows = with_sync(primaries, sync, key).join(roles, key)
-    tallies = rows.groupBy(*key, "local_role", "recorded_primary").agg(
-        F.max(F.col("ip").eqNullSafe(F.col("recorded_primary"))).alias("recorded_seen"), *votes("all", F.lit(True))
-    )
-    chosen = tallies.join(priority_flags(sync, key), key, "left").where(
-        (F.col("all_n") > 1) | (F.col("local_role") == "standby")
+    tallies = with_facts(primaries, sync, clusters, key).groupBy(*key).agg(
+        F.max("is_recorded").alias("recorded_seen"), *votes("all", F.lit(True))
     )
+    roles = clusters.select(*key, "local_role", "recorded_primary")
+    chosen = tallies.join(roles, key).where((F.col("all_n") > 1) | (F.col("local_role") == "standby"))
+    chosen = chosen.join(priority_flags(sync, key), key, "left")
     keep = F.when(
         F.col("local_role") == "primary",
         F.when(F.col("recorded_seen"), F.col("recorded_primary")).otherwise(winner("all", _flag("has_states"))),
@@ -151,26 +163,22 @@ def rebuild_source(clusters: DataFrame, instances: DataFrame, sync: DataFrame, k
     """Source to copy from, for each instance with a new volume.
 
     Normal standbys, for primary-role clusters only those in state Sync; elected when several;
-    the primary when none. instances: ``is_standby``, ``is_normal``, ``is_new_volume``
+    the primary when none. instances: candidate columns, ``is_standby``, ``is_normal``, ``is_new_volume``
     """
-    roles = clusters.select(*key, "local_role", "recorded_primary")
-    rows = with_sync(instances, sync, key).join(roles, key)
-    other = ~F.col("ip").eqNullSafe(F.col("recorded_primary"))
-    source = (
-        other & ~F.col("is_new_volume") & F.col("is_standby") & F.col("is_normal")
-        & ((F.col("local_role") == "standby") | (F.coalesce(F.col("sync_state"), F.lit("")) == "Sync"))
-    )
-    tallies = rows.groupBy(*key, "recorded_primary").agg(
-        *votes("source", source),
-        F.max(other & F.col("is_new_volume") & (F.col("local_role") == "standby")).alias("wanted_standby"),
-        F.max(other & F.col("is_new_volume")).alias("wanted"),
-        F.count("*").alias("_seen"),
-    ).where("wanted AND (wanted_standby OR _seen > 1)")
-    chosen = tallies.join(priority_flags(sync, key), key, "left").select(
-        *key, "recorded_primary", winner("source", _flag("has_states")).alias("elected")
-    )
-    targets = rows.where(other & F.col("is_new_volume")).select(*key, "ip")
-    return targets.join(chosen, key).select(
+    rows = with_facts(instances, sync, clusters, key)
+    wanted = ~F.col("is_recorded") & F.col("is_new_volume")
+    source = ~F.col("is_recorded") & ~F.col("is_new_volume") & F.col("is_standby") & F.col("is_normal")
+    tallies = rows.groupBy(*key).agg(
+        *votes("any", source), *votes("synced", source & _synced()),
+        F.max(wanted).alias("wanted"), F.count("*").alias("seen"),
+    ).where("wanted")
+    chosen = tallies.join(clusters.select(*key, "local_role", "recorded_primary"), key)
+    chosen = chosen.where("local_role = 'standby' OR seen > 1").join(priority_flags(sync, key), key, "left")
+    elected = F.when(F.col("local_role") == "standby", winner("any", _flag("has_states"))).otherwise(
+        winner("synced", _flag("has_states"))
+    )
+    sources = chosen.select(*key, "recorded_primary", elected.alias("elected"))
+    return rows.where(wanted).select(*key, "ip").join(sources, key).select(
         *key, F.col("ip").alias("target"),
         F.coalesce("elected", "recorded_primary").alias("source"),
         F.when(F.col("elected").isNull(), "primary").otherwise("standby").alias("source_kind"),
@@ -178,21 +186,18 @@ def rebuild_source(clusters: DataFrame, instances: DataFrame, sync: DataFrame, k
 
 
 def scale_in_plan(clusters: DataFrame, instances: DataFrame, sync: DataFrame, key: list[str]) -> DataFrame:
-    """Instances to remove, and the new primary when the recorded one is no longer wanted.
+    """Number of instances to remove, and the new primary when the recorded one is no longer wanted.
 
-    instances: ``is_desired`` (address is in the member list)
+    instances: candidate columns, ``is_desired`` (address is in the member list)
     """
-    roles = clusters.select(*key, "local_role", "recorded_primary")
-    rows = with_sync(instances, sync, key).join(roles, key)
-    complete = (F.coalesce(F.col("sync_state"), F.lit("")) == "Sync") | F.col("ip").eqNullSafe(
-        F.col("recorded_primary")
-    )
-    tallies = rows.groupBy(*key, "local_role", "recorded_primary").agg(
-        *votes("next", F.col("is_desired") & complete),
-        F.count_if(~F.col("is_desired")).alias("removals"),
-        F.max(F.col("is_desired") & F.col("ip").eqNullSafe(F.col("recorded_primary"))).alias("primary_wanted"),
+    desired = F.col("is_desired")
+    tallies = with_facts(instances, sync, clusters, key).groupBy(*key).agg(
+        *votes("next", desired & (_synced() | F.col("is_recorded"))),
+        F.count_if(~desired).alias("removals"),
+        F.max(desired & F.col("is_recorded")).alias("primary_wanted"),
     ).where("removals > 0")
-    chosen = tallies.join(priority_flags(sync, key), key, "left")
+    chosen = tallies.join(clusters.select(*key, "local_role", "recorded_primary"), key)
+    chosen = chosen.join(priority_flags(sync, key), key, "left")
     switch = (F.col("local_role") == "primary") & ~F.col("primary_wanted")
     elected = winner("next", _flag("has_states"))
     return chosen.select(
@@ -207,28 +212,26 @@ def upgrade_plan(clusters: DataFrame, instances: DataFrame, sync: DataFrame, key
 
     The primary is switched to an elected Sync standby first, or restarted in place when there
     is none. ``stage`` orders the steps; steps of one stage follow ``pos``.
-    instances: ``matches_spec``, ``is_primary``, ``is_standby``
+    instances: candidate columns, ``matches_spec``, ``is_primary``, ``is_standby``
     """
-    roles = clusters.select(*key, "local_role", "recorded_primary")
-    rows = with_sync(instances, sync, key).join(roles, key)
-    mismatched_primary = ~F.col("matches_spec") & F.col("is_primary") & ~F.col("is_standby")
-    target = ~mismatched_primary & (
-        (F.col("local_role") == "standby")
-        | (F.coalesce(F.col("sync_state"), F.lit("")) == "Sync")
-        | F.col("ip").eqNullSafe(F.col("recorded_primary"))
-    )
+    rows = with_facts(instances, sync, clusters, key)
+    outdated_primary = ~F.col("matches_spec") & F.col("is_primary") & ~F.col("is_standby")
     tallies = rows.groupBy(*key).agg(
-        F.max(F.when(mismatched_primary, F.struct("pos", "ip"))).alias("last"), *votes("next", target)
-    )
-    chosen = tallies.join(priority_flags(sync, key), key, "left").where("last IS NOT NULL")
-    elected = winner("next", _flag("has_states"))
+        F.max(F.when(outdated_primary, F.struct("pos", "ip"))).alias("last"),
+        *votes("any", ~outdated_primary),
+        *votes("synced", ~outdated_primary & (_synced() | F.col("is_recorded"))),
+    ).where("last IS NOT NULL")
+    chosen = tallies.join(clusters.select(*key, "local_role"), key).join(priority_flags(sync, key), key, "left")
+    standby = F.col("local_role") == "standby"
+    elected = F.when(standby, winner("any", _flag("has_states"))).otherwise(winner("synced", _flag("has_states")))
+    count = F.when(standby, F.col("any_n")).otherwise(F.col("synced_n"))
     primary_steps = chosen.select(
         *key, F.col("last")["ip"].alias("ip"), F.lit(2).alias("stage"), F.col("last")["pos"].alias("pos"),
-        F.when(F.col("next_n") == 0, "restart_in_place").when(elected.isNull(), "no_candidate")
+        F.when(count == 0, "restart_in_place").when(elected.isNull(), "no_candidate")
         .otherwise("switch_then_upgrade").alias("step"),
         elected.alias("switch_to"),
     )
-    standby_steps = rows.where(~F.col("matches_spec") & F.col("is_standby")).select(
+    standby_steps = instances.where(~F.col("matches_spec") & F.col("is_standby")).select(
         *key, "ip", F.lit(1).alias("stage"), "pos", F.lit("upgrade_standby").alias("step"),
         F.lit(None).cast("string").alias("switch_to"),
     )

@@ -124,4 +124,4 @@ def idle_transactions(sessions: DataFrame, primaries: DataFrame, now: Column, ho
     """Sessions idle in a transaction for longer than ``hours``, on primary instances only."""
     limit = F.expr(f"INTERVAL '{int(hours)}' HOUR")
     idle = sessions.where((F.col("state") == "idle in transaction") & (now - F.col("state_change") > limit))
-    return idle.join(primaries.select(*key), key, "left_semi")
+    return idle.join(primaries.select(*key).distinct(), key, "left_semi")

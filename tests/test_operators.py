@@ -119,7 +119,7 @@ def test_election_equals_sequential_choice(spark):
     df = spark.createDataFrame(
         cands, "k int, ip string, pos int, lsn struct<left:bigint,middle:bigint,right:bigint>, preferred string")
     states = spark.createDataFrame(sync, "k int, ip string, state string, priority int")
-    got = {r["k"]: r["winner"] for r in elect_by_lsn(df, states, ["k"], "preferred").collect()}
+    got = {r["k"]: r["winner"] for r in elect_by_lsn(df, states, ["k"], F.col("ip") == F.col("preferred")).collect()}
     assert got == expected
 
 
