@@ -147,9 +147,9 @@ FROM events
 
 view("fx_file", """
 SELECT doc_id AS file_id, doc_id % 20 AS cluster_id, n_chars AS bytes, CAST(doc_id % 6 AS INT) AS age_days, text,
-       concat('/logs/c', CAST(doc_id % 20 AS STRING), '/10.0.0.', CAST(doc_id % 7 AS STRING), '/gaussarch/',
+       concat('/logs/c', CAST(doc_id % 20 AS STRING), '/10.0.0.', CAST(doc_id % 7 AS STRING), '/archive/',
               CASE doc_id % 4 WHEN 0 THEN 'filebeat.audit.log' WHEN 1 THEN 'log/omm/pg_log/db.log'
-                   WHEN 2 THEN 'log/omm/bin/gs_ctl/run.log' ELSE 'log/omm/other.txt' END) AS path
+                   WHEN 2 THEN 'log/omm/bin/ctl/run.log' ELSE 'log/omm/other.txt' END) AS path
 FROM documents
 """)
 
@@ -188,7 +188,7 @@ view("fx_backup_text", """
 SELECT cluster_id, backup_id,
        concat('start_time:', day, '000000 ', chr(10), 'end_time:', day, lpad(CAST(hh AS STRING), 2, '0'),
               lpad(CAST(mm AS STRING), 2, '0'), lpad(CAST(ss AS STRING), 2, '0'), ' ', chr(10),
-              'backup_status:', status, ' ', chr(10), 'backup_file:/gaussdata/backup/', day, '000000.tar ', chr(10),
+              'backup_status:', status, ' ', chr(10), 'backup_file:/data/backup/', day, '000000.tar ', chr(10),
               'backup_size=', CAST(size_bytes AS STRING)) AS record_text
 FROM fx_backup
 """)

@@ -4,38 +4,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.chunked import CHUNK, running_sum, with_measures
 
-# fixed values: where each kind of log lives, and how an omlog record starts
+# fixed values: where each kind of log lives below the archive folder, and how an omlog record starts
 PATHS = {
-    "auditlog": r"/gaussarch/[^/]*audit\.log$",
-    "syslog": r"/gaussarch/log/omm/pg_log/[^/]*\.log$",
-    "omlog": r"/gaussarch/log/omm/bin/[^/]*/[^/]*\.log$",
+    "auditlog": r"/[^/]*audit\.log$",
+    "syslog": r"/log/omm/pg_log/[^/]*\.log$",
+    "omlog": r"/log/omm/bin/[^/]*/[^/]*\.log$",
 }
+ARCHIVE = "archive"
 RECORD_START = r"^\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\]"
 
 
-def tag_of(path: Column) -> Column:
+def tag_of(path: Column, archive: str = ARCHIVE) -> Column:
     tag = F.lit(None).cast("string")
     for name, pattern in PATHS.items():
-        tag = F.when(path.rlike(pattern), name).otherwise(tag)
+        tag = F.when(path.rlike(f"/{archive}{pattern}"), name).otherwise(tag)
     return tag
 
 
-def tag_lines(df: DataFrame, path: str) -> DataFrame:
-    """Stamp tag, cluster and instance address, the latter two from ``<root>/<cluster>/<ip>/…``."""
+def tag_lines(df: DataFrame, path: str, archive: str = ARCHIVE) -> DataFrame:
+    """Stamp tag, cluster and instance address from ``<root>/<cluster>/<ip>/<archive>/…``."""
     p = F.col(path)
-    parts = r"/([^/]+)/([^/]+)/gaussarch/"
+    parts = f"/([^/]+)/([^/]+)/{archive}/"
     return df.withColumns({
-        "tag": tag_of(p),
+        "tag": tag_of(p, archive),
         "cluster": F.regexp_extract(p, parts, 1),
         "pod_ip": F.regexp_extract(p, parts, 2),
     }).where("tag IS NOT NULL")
 
 
-def read_logs(spark: SparkSession, root: str, stream: bool = True) -> DataFrame:
+def read_logs(spark: SparkSession, root: str, stream: bool = True, archive: str = ARCHIVE) -> DataFrame:
     """Tagged lines of all log files below ``root``."""
     reader = spark.readStream if stream else spark.read
     lines = reader.format("text").option("recursiveFileLookup", "true").load(root)
-    return tag_lines(lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), "file")
+    return tag_lines(lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), "file", archive)
 
 
 def assemble_multiline(

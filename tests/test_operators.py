@@ -116,6 +116,11 @@ def test_election_equals_sequential_choice(spark):
         expected[k] = fold(rows, states, preferred)
         cands += [(k, c["ip"], i, c["lsn"], preferred) for i, c in enumerate(rows)]
         sync += [(k, ip, "Async", p) for ip, p in states.items()]
+    # one cluster with far more instances than all others together
+    big = [{"ip": f"10.{i // 250}.{i % 250}.1", "lsn": (0, i % 3, 7)} for i in range(12000)]
+    expected[-1] = fold(big, {"10.47.249.1": 2}, "")
+    cands += [(-1, c["ip"], i, c["lsn"], "") for i, c in enumerate(big)]
+    sync.append((-1, "10.47.249.1", "Sync", 2))
     df = spark.createDataFrame(
         cands, "k int, ip string, pos int, lsn struct<left:bigint,middle:bigint,right:bigint>, preferred string")
     states = spark.createDataFrame(sync, "k int, ip string, state string, priority int")
@@ -238,7 +243,7 @@ def test_long_records_come_in_parts(spark):
 
 
 def test_log_files(spark, tmp_path):
-    home = tmp_path / "logs" / "c1" / "10.0.0.1" / "gaussarch"
+    home = tmp_path / "logs" / "c1" / "10.0.0.1" / "archive"
     (home / "log/omm/bin/gs").mkdir(parents=True)
     (home / "log/omm/pg_log").mkdir(parents=True)
     (home / "x.audit.log").write_text("a\nb\n")
