@@ -93,7 +93,7 @@ def _(fx):
 
 
 @query("distinct_members", """
-SELECT cluster_id, count(*) AS members, sum(n) AS entries, count(*) FILTER (WHERE n > 1) AS duplicated FROM (
+SELECT cluster_id, count(*) AS members, CAST(sum(n) AS BIGINT) AS entries, count(*) FILTER (WHERE n > 1) AS duplicated FROM (
   SELECT cluster_id, ip, count(*) AS n FROM fx_probe WHERE k1 % 19 > 0 GROUP BY 1, 2) t GROUP BY 1
 """)
 def _(fx):

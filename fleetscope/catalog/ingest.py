@@ -99,7 +99,7 @@ def _(fx):
 
 
 @query("log_route_month", """
-SELECT tag, strftime(ts, '%Y.%m') AS month, count(*) AS lines, sum(length(props)) AS chars
+SELECT tag, strftime(ts, '%Y.%m') AS month, count(*) AS lines, CAST(sum(length(props)) AS BIGINT) AS chars
 FROM fx_log_event GROUP BY ALL
 """)
 def _(fx):
@@ -117,7 +117,7 @@ def _(fx):
 
 
 @query("backup_history", """
-SELECT cluster_id, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed, sum(size_bytes) AS bytes,
+SELECT cluster_id, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(size_bytes) AS BIGINT) AS bytes,
        round(count(*) FILTER (WHERE status = 'failed') / count(*), 6) AS failure_rate,
        round(quantile_cont(duration_s, 0.5), 3) AS p50_s, round(quantile_cont(duration_s, 0.95), 3) AS p95_s
 FROM fx_backup GROUP BY cluster_id

@@ -129,7 +129,7 @@ def _(fx):
 
 @query("log_retention", """
 SELECT cluster_id, CASE WHEN age_days > 3 THEN 'drop' WHEN age_days > 1 THEN 'compress' ELSE 'keep' END AS action,
-       count(*) AS files, sum(bytes) AS bytes
+       count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes
 FROM fx_file GROUP BY ALL
 """)
 def _(fx):

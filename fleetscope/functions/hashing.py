@@ -14,9 +14,14 @@ def _bytes(text: Column) -> Column:
         low = F.instr(F.lit(HEX), F.substring(digits, 2 * i, 1)) - 1
         return (high * 16 + low).cast("bigint")
 
+    # plain ASCII, the usual case, needs no hex detour
     count = F.octet_length(text)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), value)).otherwise(
-        F.array().cast("array<bigint>")
+    plain = F.transform(F.sequence(F.lit(1), count), lambda i: F.ascii(F.substring(text, i, 1)).cast("bigint"))
+    coded = F.transform(F.sequence(F.lit(1), count), value)
+    return (
+        F.when(count == 0, F.array().cast("array<bigint>"))
+        .when(F.char_length(text) == count, plain)
+        .otherwise(coded)
     )
 
 

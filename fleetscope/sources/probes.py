@@ -10,7 +10,7 @@ _SCHEMA = ", ".join(f"{n} {t}" for n, t in PROBE_FIELDS.items()) + ", _corrupt s
 def parse_probe(df: DataFrame, text: str) -> DataFrame:
     """Add the probe fields and ``decoded``. Absent fields are 0 or blank, newlines are dropped first."""
     parsed = F.from_json(
-        F.regexp_replace(text, "\n", ""), _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        F.replace(F.col(text), F.lit("\n"), F.lit("")), _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
     rows = df.withColumn("_p", parsed)
     fields = [
