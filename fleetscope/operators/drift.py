@@ -3,12 +3,11 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import maps
-from ..functions.net import instance_name
 from ..functions.quantity import compare
 from .catalogs import RESTART_PROPERTIES
 
 # fixed values: names the checks compare with
-APP_LABEL, CLUSTER_LABEL, ROLE_LABEL = "app", "cluster", "role"
+CLUSTER_LABEL, ROLE_LABEL = "cluster", "role"
 BUILT_IN_ENV = ["OG_PASSWORD", "MY_POD_IP", "CR_NAME"]
 MULTI_NETWORK = "kube-ovn"
 ATTACHED_NETWORKS = "k8s.v1.cni.cncf.io/networks"
@@ -247,7 +246,3 @@ def mount_wait_exemption(
         .when((F.col("running") > 0) & (F.col("running") + F.col("exempt") == F.col("desired")), "form_without_failed")
         .otherwise("wait").alias("verdict"),
     )
-
-
-def expected_name(cluster: Column, ip: Column) -> Column:
-    return instance_name(cluster, ip)

@@ -63,8 +63,8 @@ def with_month(df: DataFrame, ts: str) -> DataFrame:
 
 
 def write_logs(df: DataFrame, ts: str, root: str):
-    """One directory per tag and month. Rows of a month spread over several files by line hash,
-    so a tag that holds most of the lines is written by many tasks."""
+    """One directory per tag and month. Every task writes its own files, so a tag that holds most
+    of the lines is written by many tasks."""
     out = with_month(df, ts)
     out.write.mode("append").partitionBy("tag", "month").parquet(root)
 
