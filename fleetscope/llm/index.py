@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import decontaminate, html_text, mixing, neighbours, quality, secrets, token_files, url_filter
+from . import decontaminate, html_text, jaccard_join, mixing, neighbours, quality, secrets, token_files, url_filter
 
 _OPERATORS = {
     "op1_secrets": secrets,
@@ -9,6 +9,7 @@ _OPERATORS = {
     "op4_url_filter": url_filter,
     "op9_html_text": html_text,
     "op5_token_files": token_files,
+    "op6_jaccard_join": jaccard_join,
     "op8_decontaminate": decontaminate,
     "op10_quality": quality,
 }
