@@ -1,4 +1,57 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: from raw documents to token files of a clean mixture.
+
+Five stages, each one of the corpus operators, each over all that the one before kept. Between stages the
+documents are written as Parquet and read again.
+"""
+
+from pyspark.sql import functions as F
+
+from fleetscope.llm import common, decontaminate, jaccard_join, mixing, quality, token_files
+
+
+def keep_quality(spark, docs, sf_dir):
+    """Drops documents that the classifier takes for label 0. It learns from the labelled documents of the folds not held out."""
+    labels = common.table(spark, sf_dir, "labels", "doc_id", "quality").where(~quality.held_out())
+    return quality.keep_good(docs, quality.fit(quality.measure(docs), labels))
+
+
+def keep_one_of_each_group(spark, docs, sf_dir):
+    """Of documents connected by near-equal shingle sets only the one with the smallest id stays; rows without an id stay."""
+    groups = jaccard_join.join(docs, width=5, percent=80)
+    extra = groups.where("n_shingles > 0 AND component_id < doc_id").select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_uncontaminated(spark, docs, sf_dir):
+    """Drops documents that hold too much of the benchmark."""
+    return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def take_mixture(spark, docs, sf_dir):
+    """Documents of the mixture, whole, once for each epoch that takes them. Rows without an id cannot be named in it."""
+    taken = mixing.mix(docs).select("doc_id", "epoch").distinct()
+    return docs.join(taken, "doc_id").select(docs.columns)
+
+
+def write_tokens(spark, docs, sf_dir):
+    """Token files of the mixture, and what they hold of each document."""
+    return token_files.round_trip(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each_group),
+    ("decontamination", keep_uncontaminated),
+    ("mixture", take_mixture),
+    ("tokens", write_tokens),
+]
+
+#: the classifier and the tokenizer have no SQL; tests hold every stage against a plain version
+ORACLE_SQL = None
+
+
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

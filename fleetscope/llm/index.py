@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import decontaminate, html_text, jaccard_join, mixing, neighbours, quality, secrets, token_files, url_filter
+from . import decontaminate, html_text, jaccard_join, mixing, neighbours, quality, secrets, substring_dedup, token_files, url_filter
 
 _OPERATORS = {
     "op1_secrets": secrets,
@@ -10,6 +10,7 @@ _OPERATORS = {
     "op9_html_text": html_text,
     "op5_token_files": token_files,
     "op6_jaccard_join": jaccard_join,
+    "op7_substring_dedup": substring_dedup,
     "op8_decontaminate": decontaminate,
     "op10_quality": quality,
 }

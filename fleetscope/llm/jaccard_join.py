@@ -5,8 +5,8 @@ bounded size and compared inside. A group keeps the union of its members' tokens
 matrix; the overlap of a class with a group is bounded by the tokens they share, and only groups that may
 hold a partner are opened.
 
-Of a set of n tokens in one global order, the first n - need + 1 (need: the least overlap of a partner)
-cannot all be missing from a partner's first ones. So rows of the matrix, and the bound, need these alone.
+Of a set of n tokens in one global order, the first n - need + k (need: the least overlap of a partner) hold
+k that a partner has among its own first ones. So the rows of the matrix, and the bound, need these alone.
 """
 
 import hashlib
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 from .graph import components
 
-#: group size that a task compares in full, and number of frequent tokens that are ordered last
-GROUP, FREQUENT = 256, 65_536
+#: group size that a task compares in full, number of frequent tokens that are ordered last, first tokens that partners share
+GROUP, FREQUENT, SHARED = 256, 65_536, 8
 _COLD = 1 << 62
 
 
@@ -55,7 +55,8 @@ def first_tokens(tokens: np.ndarray, order, percent: int) -> np.ndarray:
         hot = names[at] == ranks
         ranks[hot] = _COLD + place[at[hot]]
     ranks.sort()
-    return ranks[: len(tokens) - need(len(tokens), percent) + 1]
+    least = need(len(tokens), percent)
+    return ranks[: len(tokens) - least + min(SHARED, least)]
 
 
 def _classes(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -175,13 +176,20 @@ def join(
 
     postings = _once_each(texts, width, "r long, cls long, n long", firsts)
     # ---- groups: classes that share first tokens, around the least class of each token
-    tokens = common.written(postings.groupBy("r").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).where("centre != last").select("r", "centre"), "tokens")
-    held = common.written(postings.join(tokens, "r").select("r", "cls", "n", "centre").distinct(), "matrix")
-    home = held.groupBy("cls").agg(F.min("centre").alias("centre"), F.first("n").alias("n"))
+    tokens = common.written(postings.groupBy("r").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("r"), "tokens")
+    held = postings.join(tokens.select("r"), "r").distinct()
+    # first tokens that a class shares with any one partner; with fewer in all it has none
+    asked = f"least({SHARED}, (n * {percent} + 99) div 100)"
+    held = common.written(held, "matrix")
+    able = common.written(held.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"k >= {asked}").select("cls"), "able")
+    held = held.join(able, "cls")
+    centres = held.groupBy("r").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).where("centre != last").select("r", "centre")
+    held = common.written(held.join(centres, "r").select("r", "cls", "n", "centre"), "matrix")
+    home = held.groupBy("cls", "centre").agg(F.count("*").alias("k"), F.first("n").alias("n")).groupBy("cls").agg(F.max(F.struct("k", -F.col("centre"))).alias("best"), F.first("n").alias("n"))
+    home = home.select("cls", "n", (-F.col("best.col2")).alias("centre"))
     cuts = home.groupBy("centre").agg(F.expr(f"cast(ceil(count(*) / {group}) as int)").alias("cuts"))
     home = common.written(home.join(cuts, "centre").select("cls", "n", "centre", "cuts", F.expr("cast(pmod(xxhash64(cls), cuts) as int)").alias("part")), "groups")
-    wanted = home.select("cls")
-    sets = common.written(_once_each(texts, width, "cls long, t string", lambda cls, _, t: ([cls], [t])).join(wanted, "cls").dropDuplicates(["cls"]), "texts")
+    sets = common.written(_once_each(texts, width, "cls long, t string", lambda cls, _, t: ([cls], [t])).join(home.select("cls"), "cls").dropDuplicates(["cls"]), "texts")
     members = home.select("cls", "centre", "part").unionByName(
         home.groupBy("centre").agg(F.max("cuts").alias("cuts")).select(F.col("centre").alias("cls"), "centre", F.explode(F.expr("sequence(0, cuts - 1)")).alias("part"))
     ).distinct()
@@ -194,13 +202,14 @@ def join(
     placed = common.written(placed.join(open_tokens, "r").join(home.select("cls", "centre", "part"), "cls"), "placed")
     unions = placed.groupBy("r", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asks = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("grp").alias("gx"))
-    # a class and a group without a shared first token overlap in fewer tokens than any partner needs; sizes bound the rest
-    bound = asks.join(unions, "r").where(f"gx < grp AND 100 * least <= 100 * nx * 100 / {percent} AND most * 100 >= nx * {percent}")
-    opened = bound.groupBy("x", "grp").agg(F.count("*").alias("overlap"))
+    # the bound: a class and a group with fewer shared first tokens hold no partners; sizes bound the rest
+    few = lambda a, b: f"least({SHARED}, ({a} * {percent} + 99) div 100, ({b} * {percent} + 99) div 100)"
+    bound = asks.join(unions, "r").where(f"gx < grp AND least * {percent} <= nx * 100 AND most * 100 >= nx * {percent}")
+    opened = bound.groupBy("x", "grp").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.min("least").alias("least")).where(f"overlap >= {few('nx', 'least')}")
     left = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("centre").alias("cx"), F.col("part").alias("px")).join(opened.select("x", "grp"), "x")
     pairs = left.join(placed.select("r", F.col("cls").alias("y"), "grp", "n", "centre", "part"), ["r", "grp"]).where(
         f"100 * least(n, nx) >= {percent} * greatest(n, nx) AND NOT (cx = centre AND px = part) AND y != cx AND x != centre"
-    ).select("x", "y").distinct()
+    ).groupBy("x", "y").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.first("n").alias("n")).where(f"overlap >= {few('nx', 'n')}").select("x", "y")
     pairs = pairs.join(sets.select(F.col("cls").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("cls").alias("y"), F.col("t").alias("ty")), "y").select("x", "y", "tx", "ty")
     across = pairs.mapInArrow(_verified(width, percent), "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
     across = common.written(across, "across")
