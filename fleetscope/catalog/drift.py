@@ -9,7 +9,7 @@ from ..operators.drift import (
     restart_required, service_drift, sync_standbys,
 )
 from ..operators.predicates import label_mismatch
-from ..operators.replication import acl_drift, edge_drift, replication_edges, sync_policy
+from ..operators.replication import acl_drift, edge_drift, replication_edges, sync_policy, topology
 from .common import KEY, probes, sync
 from .registry import query, view
 
@@ -248,7 +248,8 @@ SELECT cluster_id, ip, '127.0.0.1', 1 FROM fx_member JOIN fx_cluster USING (clus
 
 @query("replication_edges", """
 SELECT m.cluster_id, m.ip, CASE WHEN e.remote_ip = '127.0.0.1' THEN e.remote_ip ELSE m.ip END AS local_ip, g.s AS slot,
-       c.want_slots + c.remote_count - 1 AS edges, coalesce(e.remote_ip, '') AS remote_ip,
+       c.want_slots + c.remote_count - 1 AS edges, greatest(c.want_slots + c.remote_count - 8, 0) AS beyond,
+       coalesce(e.remote_ip, '') AS remote_ip,
        CASE WHEN e.slot IS NULL THEN 0 ELSE 5433 END AS data_port, CASE WHEN e.slot IS NULL THEN 0 ELSE 5436 END AS service_port,
        CASE WHEN e.slot IS NULL THEN 0 ELSE 5437 END AS heartbeat_port
 FROM fx_member m JOIN fx_cluster c USING (cluster_id) JOIN generate_series(1, 7) g(s) ON true
@@ -260,10 +261,20 @@ def _(fx):
     return replication_edges(members, remotes, KEY, 5432)
 
 
+@query("replication_topology", """
+SELECT cluster_id, ip, ord AS ordinal, 5433 AS data_port, 5436 AS service_port, 5437 AS heartbeat_port FROM ox_peer
+""")
+def _(fx):
+    members = fx("fx_member").withColumnRenamed("slot", "pos")
+    remotes = fx("fx_remote").withColumnRenamed("slot", "pos")
+    return topology(members, remotes, KEY, 5432)
+
+
 view("fx_edge_seen", """
 SELECT cluster_id, ip, concat('10.', CAST(cluster_id % 3 AS STRING), '.', CAST((k2 % 6 * 37) % 11 AS STRING), '.', CAST(k2 % 6 AS STRING)) AS remote_ip
 FROM fx_probe WHERE k1 % 3 > 0
 UNION ALL SELECT cluster_id, ip, concat('10.8.', CAST(cluster_id % 200 AS STRING), '.1') FROM fx_probe WHERE k1 % 3 = 0
+UNION ALL SELECT cluster_id, ip, '127.0.0.1' FROM fx_probe WHERE k1 % 7 = 0
 """)
 
 
@@ -271,11 +282,11 @@ UNION ALL SELECT cluster_id, ip, concat('10.8.', CAST(cluster_id % 200 AS STRING
 WITH o AS (SELECT DISTINCT cluster_id, ip, remote_ip FROM fx_edge_seen),
 k AS (
   SELECT cluster_id, ip, count(*) FILTER (WHERE good) AS r, count(*) FILTER (WHERE NOT good) AS u FROM (
-    SELECT o.*, o.ip <> o.remote_ip AND EXISTS (SELECT 1 FROM ox_peer p WHERE p.cluster_id = o.cluster_id AND p.ip = o.remote_ip) AS good
+    SELECT o.*, EXISTS (SELECT 1 FROM ox_edge e WHERE e.cluster_id = o.cluster_id AND e.ip = o.ip AND e.remote_ip = o.remote_ip) AS good
     FROM o) t GROUP BY 1, 2
 )
 SELECT m.cluster_id, m.ip, coalesce(r, 0) AS "right", coalesce(u, 0) AS unexpected,
-       c.want_slots + c.remote_count - 1 - coalesce(r, 0) AS missing
+       greatest(c.want_slots + c.remote_count - 1, 1) - coalesce(r, 0) AS missing
 FROM fx_member m JOIN fx_cluster c USING (cluster_id) LEFT JOIN k ON k.cluster_id = m.cluster_id AND k.ip = m.ip
 """)
 def _(fx):

@@ -62,6 +62,9 @@ p AS (
          WHEN 'elect_standby' THEN x1 WHEN 'elect_sync_standby' THEN x2 END AS target FROM p
 )
 SELECT cluster_id, target, CASE WHEN target IS NULL THEN 'no_candidate' ELSE rule END AS policy FROM t
+UNION ALL
+SELECT cluster_id, NULL, 'no_candidate' FROM fx_cluster
+WHERE local_role = 'primary' AND cluster_id NOT IN (SELECT l_orderkey FROM lineitem)
 """)
 def _(fx):
     rows = candidates(fx).withColumns({
@@ -106,7 +109,8 @@ def _(fx):
 @query("scale_in_plan", f"""
 WITH d AS (
   SELECT cluster_id, any_value(local_role) AS role, any_value(recorded_primary) AS rec,
-         count(*) FILTER (WHERE slot > want_slots) AS removals, bool_or(slot <= want_slots AND ip = recorded_primary) AS kept
+         count(*) FILTER (WHERE slot > want_slots) AS removals,
+         any_value(recorded_primary) IN (SELECT m.ip FROM fx_member m WHERE m.cluster_id = ox_cand.cluster_id) AS kept
   FROM ox_cand GROUP BY 1
 ), w AS ({ranked("slot <= want_slots AND (sync_state = 'Sync' OR ip = recorded_primary)", 'has_states')})
 SELECT cluster_id, removals, role = 'primary' AND NOT kept AS switch_primary,
@@ -118,7 +122,7 @@ def _(fx):
     wanted = fx("fx_member").select("cluster_id", "ip", F.lit(True).alias("is_desired"))
     rows = candidates(fx).join(wanted, ["cluster_id", "ip"], "left").withColumn(
         "is_desired", F.coalesce("is_desired", F.lit(False)))
-    return scale_in_plan(fx("fx_cluster"), rows, sync(fx), KEY)
+    return scale_in_plan(fx("fx_cluster"), fx("fx_member"), rows, sync(fx), KEY)
 
 
 _old = "(k2 % 3 = 0)"

@@ -91,11 +91,12 @@ def _(fx):
 WITH g AS (
   SELECT *, count(*) FILTER (WHERE is_start) OVER (PARTITION BY file_id ORDER BY seq) AS record FROM fx_log
 )
-SELECT file_id, record, 0 AS part, min(seq) AS first_seq, count(*) AS lines, string_agg(text, chr(10) ORDER BY seq) AS text
+SELECT file_id, record, min(seq) AS first_seq, count(*) AS lines, string_agg(text, chr(10) ORDER BY seq) AS text
 FROM g GROUP BY file_id, record
 """)
 def _(fx):
-    return assemble_multiline(fx("fx_log"), ["file_id"], "seq", "text", F.col("is_start"))
+    # a small chunk, so that records cross borders
+    return assemble_multiline(fx("fx_log"), ["file_id"], "seq", "text", F.col("is_start"), 3)
 
 
 @query("log_route_month", """

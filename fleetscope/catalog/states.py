@@ -26,19 +26,20 @@ def _(fx):
 WITH s AS (
   SELECT *, CASE WHEN expected = 0 THEN 'lone' WHEN synced < expected THEN 'short' WHEN synced = expected THEN 'reached'
             ELSE 'over' END AS sig,
-         max(ts) OVER (PARTITION BY cluster_id) AS last_ts
+         max(ts) OVER () AS last_ts
   FROM fx_sync_count
 ), i AS (
-  SELECT * FROM s QUALIFY sig IS DISTINCT FROM lag(sig) OVER (PARTITION BY cluster_id ORDER BY ts)
+  SELECT * FROM s QUALIFY sig IS DISTINCT FROM lag(sig) OVER (PARTITION BY cluster_id ORDER BY ts, event_id)
 ), e AS (
-  SELECT *, coalesce(lead(ts) OVER (PARTITION BY cluster_id ORDER BY ts), last_ts) AS until_ts FROM i
+  SELECT *, lead(ts) OVER (PARTITION BY cluster_id ORDER BY ts, event_id) AS until_ts FROM i
 ), d AS (
-  SELECT cluster_id, ts AS switched_at, false AS m FROM e WHERE sig = 'reached'
-  UNION ALL SELECT cluster_id, ts, true FROM e WHERE sig = 'lone'
-  UNION ALL SELECT cluster_id, ts + INTERVAL 60 SECOND, true FROM e WHERE sig = 'short' AND ts + INTERVAL 60 SECOND < until_ts
+  SELECT cluster_id, ts AS switched_at, false AS m, ts, event_id FROM e WHERE sig = 'reached'
+  UNION ALL SELECT cluster_id, ts, true, ts, event_id FROM e WHERE sig = 'lone'
+  UNION ALL SELECT cluster_id, ts + INTERVAL 60 SECOND, true, ts, event_id FROM e
+    WHERE sig = 'short' AND CASE WHEN until_ts IS NULL THEN ts + INTERVAL 60 SECOND <= last_ts ELSE ts + INTERVAL 60 SECOND < until_ts END
 )
 SELECT cluster_id, switched_at, CASE WHEN m THEN 'ON' ELSE 'OFF' END AS switch FROM d
-QUALIFY m <> coalesce(lag(m) OVER (PARTITION BY cluster_id ORDER BY switched_at), false)
+QUALIFY m <> coalesce(lag(m) OVER (PARTITION BY cluster_id ORDER BY switched_at, ts, event_id), false)
 """)
 def _(fx):
     return availability_switch(
@@ -47,7 +48,7 @@ def _(fx):
 
 @query("stuck_states", """
 WITH c AS (
-  SELECT cluster_id, ts, event_id, state, max(ts) OVER (PARTITION BY cluster_id) AS last_ts FROM fx_state
+  SELECT cluster_id, ts, event_id, state, max(ts) OVER () AS last_ts FROM fx_state
   QUALIFY state IS DISTINCT FROM lag(state) OVER (PARTITION BY cluster_id ORDER BY ts, event_id)
 ), v AS (SELECT *, lead(ts) OVER (PARTITION BY cluster_id ORDER BY ts, event_id) AS valid_to FROM c)
 SELECT cluster_id, state, ts AS valid_from, ts + INTERVAL 300 SECOND AS timeout_at, valid_to IS NULL AS still_open

@@ -16,7 +16,7 @@ SELECT o_orderkey AS cluster_id, o_custkey AS namespace_id,
        CAST(o_orderkey % 7 + 1 AS INT) AS recorded_slot,
        {address('o_orderkey', '(o_orderkey % 7 + 1)')} AS recorded_primary,
        o_orderkey % 5 = 0 AS is_new, o_orderkey % 13 = 0 AS role_changed,
-       CAST(o_orderkey % 5 + 1 AS INT) AS want_slots,
+       CAST(CASE WHEN o_orderkey % 97 = 0 THEN 12 ELSE o_orderkey % 5 + 1 END AS INT) AS want_slots,
        CAST(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END AS INT) AS remote_count,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'recovering' WHEN '2-HIGH' THEN 'updating'
             WHEN '3-MEDIUM' THEN 'invalid' WHEN '5-LOW' THEN 'maintaining' ELSE 'ready' END AS state,

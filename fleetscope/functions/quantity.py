@@ -3,9 +3,9 @@
 from pyspark.sql import Column, functions as F
 
 PATTERN = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))(|[numkMGTPE]|[KMGTPE]i|[eE][+-]?[0-9]{1,2})$"
-RATE = r"([0-9.]+)(Ki|K|Mi|Gi|M|G|Ti|T)"
 
-# fixed values: multiplier of each suffix, in billionths
+# fixed values: how a rate is written; multiplier of each suffix, in billionths
+RATE = r"([0-9.]+)(Ki|K|Mi|Gi|M|G|Ti|T)"
 SCALE = {
     "n": 1, "u": 10**3, "m": 10**6, "": 10**9,
     "k": 10**12, "M": 10**15, "G": 10**18, "T": 10**21, "P": 10**24, "E": 10**27,
@@ -23,13 +23,15 @@ def is_quantity(text: Column) -> Column:
 
 
 def billionths(text: Column) -> Column:
-    """Exact value in billionths; NULL when the text is blank, no quantity or beyond decimal(38,6)."""
-    number = F.regexp_extract(text, PATTERN, 1).try_cast("decimal(18,6)")
+    """Value in billionths, exact up to 32 digits and the largest such number beyond; NULL when the text is blank or no quantity."""
+    number = F.regexp_extract(text, PATTERN, 1).try_cast("decimal(30,6)")
     suffix = F.regexp_extract(text, PATTERN, 2)
     power = F.substring(suffix, 2, 3).try_cast("int")
     scientific = (number.cast("double") * F.pow(F.lit(10.0), power + 9)).try_cast("decimal(38,6)")
     exact = F.try_multiply(number, F.try_element_at(F.expr(_TABLE), suffix))
-    return F.coalesce(exact, F.when(F.length(suffix) > 1, scientific))
+    largest = F.lit("9" * 32).cast("decimal(38,6)")
+    beyond = F.when(text.rlike(PATTERN), F.when(F.startswith(text, F.lit("-")), -largest).otherwise(largest))
+    return F.coalesce(exact, F.when(F.length(suffix) > 1, scientific), beyond)
 
 
 def amount(text: Column) -> Column:

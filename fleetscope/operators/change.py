@@ -36,8 +36,12 @@ def is_new(applied: Column = None) -> Column:
     return F.coalesce(applied["image"], F.lit("")) == ""
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(""))
+def _text(c: Column, absent: str = "") -> Column:
+    return F.coalesce(c.cast("string"), F.lit(absent))
+
+
+# an absent number is 0 and an absent flag is off, as an absent text is blank
+_ABSENT = {"read_port": "0", "write_port": "0", "maintenance": "false"}
 
 
 def _ip_set(entries: Column) -> Column:
@@ -63,13 +67,13 @@ def _size(a: Column) -> Column:
 def _pairs(prev: Column, curr: Column) -> list[tuple[str, str, Column, Column]]:
     out = []
     for kind, names in SCALARS.items():
-        out += [(kind, n, _text(prev[n]), _text(curr[n])) for n in names]
+        out += [(kind, n, _text(prev[n], _ABSENT.get(n, "")), _text(curr[n], _ABSENT.get(n, ""))) for n in names]
     for kind, names in MAPS.items():
         out += [(kind, n, maps.to_text(prev[n]), maps.to_text(curr[n])) for n in names]
     for n in CONTAINER_SCHEDULE:
-        out.append(("container", n, _text(prev["schedule"][n]), _text(curr["schedule"][n])))
+        out.append(("container", n, _text(prev["schedule"][n], "0"), _text(curr["schedule"][n], "0")))
     for n in SCHEDULE:
-        out.append(("schedule", n, _text(prev["schedule"][n]), _text(curr["schedule"][n])))
+        out.append(("schedule", n, _text(prev["schedule"][n], "0"), _text(curr["schedule"][n], "0")))
     out.append(("schedule", "node_labels", maps.to_text(prev["schedule"]["node_labels"]),
                 maps.to_text(curr["schedule"]["node_labels"])))
 

@@ -151,10 +151,12 @@ def env_drift(instances: DataFrame, specs: DataFrame, key: list[str], keep: tupl
     specs: key, ``env`` map with keys ``<container>_<NAME>``; instances: key, ``keep`` columns,
     ``container``, ``container_env`` map. A wanted key must be met by a variable whose name occurs in the key,
     and every such variable must have the wanted value; a variable that is neither built in
-    nor wanted is drift. The two maps meet in one row, so nothing is paired across rows.
+    nor wanted is drift. An absent map is an empty one. The two maps meet in one row, so nothing is paired
+    across rows.
     """
-    container, env = F.col("container"), F.col("container_env")
-    wanted = F.map_entries(F.map_filter("env", lambda k, _v: F.startswith(k, container)))
+    none = F.create_map().cast("map<string,string>")
+    container, env, want = F.col("container"), F.coalesce("container_env", none), F.coalesce("env", none)
+    wanted = F.map_entries(F.map_filter(want, lambda k, _v: F.startswith(k, container)))
     held = F.map_entries(env)
 
     def related(w):
@@ -165,7 +167,7 @@ def env_drift(instances: DataFrame, specs: DataFrame, key: list[str], keep: tupl
     extra = F.exists(
         F.map_keys(env),
         lambda n: ~n.isin(BUILT_IN_ENV)
-        & ~F.array_contains(F.map_keys("env"), F.concat(container, F.lit("_"), n)),
+        & ~F.array_contains(F.map_keys(want), F.concat(container, F.lit("_"), n)),
     )
     return (
         instances.join(specs, key)

@@ -96,7 +96,7 @@ def elect_by_lsn(candidates: DataFrame, sync: DataFrame, key: list[str], preferr
 
 
 def failover_choice(clusters: DataFrame, instances: DataFrame, sync: DataFrame, key: list[str]) -> DataFrame:
-    """What to do for primary-role clusters that run without a primary.
+    """What to do for primary-role clusters that run without a primary, those without any observed instance included.
 
     clusters: key, ``local_role``, ``recorded_primary``, ``is_new``, ``role_changed``
     instances: candidate columns, ``is_primary``, ``is_standby``, ``has_repl_config``,
@@ -112,9 +112,10 @@ def failover_choice(clusters: DataFrame, instances: DataFrame, sync: DataFrame,
         F.min(F.struct("pos", "ip")).alias("first_seen"),
         *votes("standby", standby),
         *votes("synced", standby & _synced()),
-    ).where(~F.col("has_primary"))
+    )
     roles = clusters.where("local_role = 'primary'").select(*key, "recorded_primary", "is_new", "role_changed")
-    chosen = tallies.join(roles, key).join(priority_flags(sync, key), key, "left")
+    chosen = roles.join(tallies, key, "left").where(~F.coalesce("has_primary", F.lit(False)))
+    chosen = chosen.join(priority_flags(sync, key), key, "left")
     by_sync = _flag("has_sync") & ~F.col("is_new")
     policy = (
         F.when(F.col("recorded_usable"), "restart_recorded")
@@ -185,20 +186,21 @@ def rebuild_source(clusters: DataFrame, instances: DataFrame, sync: DataFrame, k
     )
 
 
-def scale_in_plan(clusters: DataFrame, instances: DataFrame, sync: DataFrame, key: list[str]) -> DataFrame:
-    """Number of instances to remove, and the new primary when the recorded one is no longer wanted.
+def scale_in_plan(clusters: DataFrame, members: DataFrame, instances: DataFrame, sync: DataFrame, key: list[str]) -> DataFrame:
+    """Number of instances to remove, and the new primary when the recorded one is no longer in the member list.
 
-    instances: candidate columns, ``is_desired`` (address is in the member list)
+    members: key, ``ip``; instances: candidate columns, ``is_desired`` (address is in the member list)
     """
     desired = F.col("is_desired")
     tallies = with_facts(instances, sync, clusters, key).groupBy(*key).agg(
         *votes("next", desired & (_synced() | F.col("is_recorded"))),
         F.count_if(~desired).alias("removals"),
-        F.max(desired & F.col("is_recorded")).alias("primary_wanted"),
     ).where("removals > 0")
-    chosen = tallies.join(clusters.select(*key, "local_role", "recorded_primary"), key)
+    listed = members.select(*key, F.col("ip").alias("recorded_primary"), F.lit(True).alias("primary_wanted")).distinct()
+    recorded = clusters.select(*key, "local_role", "recorded_primary").join(listed, [*key, "recorded_primary"], "left")
+    chosen = tallies.join(recorded, key)
     chosen = chosen.join(priority_flags(sync, key), key, "left")
-    switch = (F.col("local_role") == "primary") & ~F.col("primary_wanted")
+    switch = (F.col("local_role") == "primary") & ~_flag("primary_wanted")
     elected = winner("next", _flag("has_states"))
     return chosen.select(
         *key, "removals", switch.alias("switch_primary"),

@@ -6,12 +6,13 @@ from .chunked import lag, last_known, lead, run_lengths, running_sum, with_measu
 
 
 def latest_snapshot(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Last row per key.
+    """Last row per key by ``order`` alone; the other columns may be of any type, maps included.
 
-    A max over (order, row) combines on the map side, so a hot key sends one row per task.
+    It combines on the map side, so a hot key sends one row per task. Rows of equal order are one state:
+    any of them is taken.
     """
-    rest = [c for c in df.columns if c not in key and c not in order]
-    best = df.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in df.columns])
 
 

@@ -123,5 +123,5 @@ def state_summary() -> Column:
 def idle_transactions(sessions: DataFrame, primaries: DataFrame, now: Column, hours: int, key: list[str]) -> DataFrame:
     """Sessions idle in a transaction for longer than ``hours``, on primary instances only."""
     limit = F.expr(f"INTERVAL '{int(hours)}' HOUR")
-    idle = sessions.where((F.col("state") == "idle in transaction") & (now - F.col("state_change") > limit))
+    idle = sessions.where((F.col("state") == "idle in transaction") & (F.col("state_change") < now - limit))
     return idle.join(primaries.select(*key).distinct(), key, "left_semi")

@@ -20,25 +20,38 @@ def peers(members: DataFrame, remotes: DataFrame, key: list[str]) -> DataFrame:
     return local.union(remote)
 
 
-def replication_edges(members: DataFrame, remotes: DataFrame, key: list[str], db_port: int) -> DataFrame:
-    """Connection slots 1..7 of every instance, blank after its last edge.
+def topology(members: DataFrame, remotes: DataFrame, key: list[str], db_port: int) -> DataFrame:
+    """Every address of a cluster with its ordinal and ports: the complete expected replication, one row each.
+
+    Slot k of the member with ordinal i points at the peer with ordinal k, or k+1 from k = i on.
+    """
+    return peers(members, remotes, key).select(
+        *key, "ip", "ordinal", F.lit(db_port + 1).alias("data_port"), F.lit(db_port + 4).alias("service_port"),
+        F.lit(db_port + 5).alias("heartbeat_port"),
+    )
+
+
+def replication_edges(members: DataFrame, remotes: DataFrame, key: list[str], db_port: int, slots: int = SLOTS) -> DataFrame:
+    """Connection slots 1..``slots`` of every instance, blank after its last edge.
 
     Slot k of the i-th member points at peer k, or k+1 from its own place on, so an edge is
-    looked up by ordinal and members are never paired with each other: the work is seven rows
-    per instance at any cluster size. ``edges`` counts all peers, also those beyond slot 7.
+    looked up by ordinal and members are never paired with each other: the work is ``slots`` rows
+    per instance at any cluster size. ``edges`` counts all peers, ``beyond`` those after the last
+    slot; ``topology`` has every peer of a cluster once, from which each of them follows.
     """
     everyone = peers(members, remotes, key)
     sizes = everyone.groupBy(*key).agg(F.count("*").alias("peers"))
-    slots = members.select(*key, "ip", "pos").join(sizes, key).select(
+    rows = members.select(*key, "ip", "pos").join(sizes, key).select(
         *key, "ip", "pos", (F.col("peers") - 1).alias("edges"),
-        F.explode(F.sequence(F.lit(1), F.lit(SLOTS))).alias("slot"),
+        F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("slot"),
     )
     alone = (F.col("edges") == 0) & (F.col("slot") == 1)
     at = F.when(F.col("slot") <= F.col("edges"), F.col("slot") + F.when(F.col("slot") >= F.col("pos"), 1).otherwise(0))
     targets = everyone.select(*key, F.col("ordinal").alias("at"), F.col("ip").alias("peer_ip"))
-    placed = slots.withColumn("at", at.cast("bigint")).join(targets, [*key, "at"], "left")
+    placed = rows.withColumn("at", at.cast("bigint")).join(targets, [*key, "at"], "left")
     return placed.select(
         *key, F.when(alone, LOOPBACK).otherwise(F.col("ip")).alias("local_ip"), "ip", "slot", "edges",
+        F.greatest(F.col("edges") - slots, F.lit(0).cast("bigint")).alias("beyond"),
         F.when(alone, LOOPBACK).otherwise(F.coalesce("peer_ip", F.lit(""))).alias("remote_ip"),
         F.when(alone | F.col("peer_ip").isNotNull(), F.lit(db_port + 1)).otherwise(0).alias("data_port"),
         F.when(alone | F.col("peer_ip").isNotNull(), F.lit(db_port + 4)).otherwise(0).alias("service_port"),
@@ -49,13 +62,16 @@ def replication_edges(members: DataFrame, remotes: DataFrame, key: list[str], db
 def edge_drift(members: DataFrame, remotes: DataFrame, observed: DataFrame, key: list[str]) -> DataFrame:
     """Per instance: edges that are right, unknown to the cluster, or missing.
 
-    observed: key, ``ip``, ``remote_ip``. Missing ones are counted against the number of peers.
+    observed: key, ``ip``, ``remote_ip``. Missing ones are counted against the number of peers; a lone
+    instance expects the one edge to itself.
     """
     everyone = peers(members, remotes, key)
-    sizes = everyone.groupBy(*key).agg((F.count("*") - 1).alias("expected"))
-    known = observed.distinct().join(
-        everyone.select(*key, F.col("ip").alias("remote_ip"), F.lit(True).alias("k")), [*key, "remote_ip"], "left"
-    ).withColumn("k", F.coalesce("k", F.lit(False)) & (F.col("ip") != F.col("remote_ip")))
+    count = everyone.groupBy(*key).agg(F.count("*").alias("n"))
+    sizes = count.select(*key, F.greatest(F.col("n") - 1, F.lit(1)).alias("expected"))
+    right = everyone.select(*key, F.col("ip").alias("remote_ip")).union(count.where("n = 1").select(*key, F.lit(LOOPBACK)))
+    known = observed.distinct().join(right.withColumn("k", F.lit(True)), [*key, "remote_ip"], "left").withColumn(
+        "k", F.coalesce("k", F.lit(False)) & (F.col("ip") != F.col("remote_ip"))
+    )
     seen = known.groupBy(*key, "ip").agg(F.count_if(F.expr("k")).alias("right"), F.count_if(~F.col("k")).alias("unexpected"))
     return members.select(*key, "ip").join(sizes, key).join(seen, [*key, "ip"], "left").select(
         *key, "ip", F.coalesce("right", F.lit(0)).alias("right"), F.coalesce("unexpected", F.lit(0)).alias("unexpected"),

@@ -32,32 +32,33 @@ def sync_signal(synced: Column, expected: Column) -> Column:
 
 def availability_switch(
     df: DataFrame, key: list[str], order: list[str], synced: Column, expected: Column, timeout_s: int,
-    chunk: Column | None, islands_chunk: Column | None,
+    chunk: Column | None, islands_chunk: Column | None, as_of: Column | None = None,
 ) -> DataFrame:
     """Availability mode: one row whenever it changes. It starts off.
 
     Enough synchronous replicas switch it off at once; too few for ``timeout_s`` switch it on
     at the end of that time; a cluster that expects none has it on; more than expected changes
-    nothing. Works on the islands of equal signals, of which there are far fewer than polls.
+    nothing. Works on the islands of equal signals, of which there are far fewer than polls. An open
+    island lasts up to ``as_of``, by default the last poll of all keys.
     """
     ts = order[0]
     rows = df.select(*key, *order, sync_signal(synced, expected).alias("signal"))
     ordered = [F.col(c) for c in order]
     islands = change_points(rows, key, order, F.col("signal"), chunk).select(*key, *order, F.col("value").alias("signal"))
     ended = with_measures(islands, key, ordered, islands_chunk, _end=lead(F.col(ts), ordered))
-    last_seen = rows.groupBy(*key).agg(F.max(ts).alias("_last"))
+    now = rows.agg(F.max(ts)).scalar() if as_of is None else as_of
     deadline = F.col(ts) + F.expr(f"INTERVAL '{int(timeout_s)}' SECOND")
-    timed = ended.join(last_seen, key).withColumn("_due", deadline)
-    held = F.col("_due") < F.coalesce(F.col("_end"), F.col("_last"))
+    timed = ended.withColumn("_due", deadline)
+    held = F.when(F.col("_end").isNull(), F.col("_due") <= now).otherwise(F.col("_due") < F.col("_end"))
     wish = (
         F.when(F.col("signal") == "reached", False)
         .when(F.col("signal") == "lone", True)
         .when((F.col("signal") == "short") & held, True)
     )
     wishes = timed.select(
-        *key, F.when(F.col("signal") == "short", F.col("_due")).otherwise(F.col(ts)).alias("switched_at"), wish.alias("on")
+        *key, *order, F.when(F.col("signal") == "short", F.col("_due")).otherwise(F.col(ts)).alias("switched_at"), wish.alias("on")
     ).where("on IS NOT NULL")
-    at = [F.col("switched_at")]
+    at = [F.col("switched_at"), *ordered]
     seen = with_measures(
         wishes, key, at, None if islands_chunk is None else F.date_trunc("month", "switched_at"), _prev=lag(F.col("on"), at)
     )
@@ -68,13 +69,13 @@ def availability_switch(
 
 def stuck_states(
     df: DataFrame, key: list[str], order: list[str], state: Column, waiting: list[str], deadline_s: int,
-    chunk: Column | None, changes_chunk: Column | None,
+    chunk: Column | None, changes_chunk: Column | None, as_of: Column | None = None,
 ) -> DataFrame:
-    """Stays in a waiting state that outlast the deadline; open ones are measured up to the last poll of the key."""
+    """Stays in a waiting state that outlast the deadline; open ones are measured up to ``as_of``, by default the last poll of all keys."""
     spans = state_intervals(df, key, order, state, chunk, changes_chunk).where(F.col("value").isin(waiting))
-    last_seen = df.groupBy(*key).agg(F.max(order[0]).alias("_last"))
-    end = F.coalesce("valid_to", "_last")
-    return spans.join(last_seen, key).where(micros(F.col("valid_from"), end) > deadline_s * 1000000).select(
+    now = df.agg(F.max(order[0])).scalar() if as_of is None else as_of
+    end = F.coalesce("valid_to", now)
+    return spans.where(micros(F.col("valid_from"), end) > deadline_s * 1000000).select(
         *key, F.col("value").alias("state"), "valid_from",
         (F.col("valid_from") + F.expr(f"INTERVAL '{int(deadline_s)}' SECOND")).alias("timeout_at"),
         F.col("valid_to").isNull().alias("still_open"),

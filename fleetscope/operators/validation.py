@@ -38,8 +38,9 @@ def _blank(field: str) -> str:
     return f"coalesce(d.{field}, '') = ''"
 
 
-def _frozen(field: str) -> str:
-    return f"NOT _new AND NOT (d.{field} <=> a.{field})"
+def _frozen(field: str, absent: str = "''") -> str:
+    """Must stay as applied; an absent value equals a blank or zero one."""
+    return f"NOT _new AND coalesce(d.{field}, {absent}) <> coalesce(a.{field}, {absent})"
 
 
 def _sized(field: str, parse: str, low: str, shrink: str = None) -> list[tuple[str, str, str]]:
@@ -60,7 +61,7 @@ def _absolute(rule: str, field: str) -> tuple[str, str, str]:
 # rule id, field, condition under which the field is wrong
 ROW_RULES = [
     ("V01", "image", _blank("image")),
-    ("V02", "db_port", _frozen("db_port")),
+    ("V02", "db_port", _frozen("db_port", "0")),
     ("V03", "secret_fingerprint", _frozen("secret_fingerprint")),
     ("V04", "hostpath_root", _frozen("hostpath_root")),
     ("V05", "storage_class", _frozen("storage_class")),

@@ -23,7 +23,7 @@ def decide(specs: DataFrame, health: DataFrame, key: list[str]) -> DataFrame:
     flags = spec_change_flags(filled.select(*key, "desired", "applied"), key)
     modes = filled.select(
         *key, "state",
-        (F.col("desired")["maintenance"] & F.col("applied")["maintenance"]).alias("in_maintenance"),
+        F.coalesce(F.col("desired")["maintenance"] & F.col("applied")["maintenance"], F.lit(False)).alias("in_maintenance"),
     )
     states = modes.join(flags, key).join(health.select(*key, "needs_reconcile"), key, "left")
     states = states.withColumn("needs_reconcile", F.coalesce("needs_reconcile", F.lit(True)))

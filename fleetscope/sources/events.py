@@ -47,9 +47,13 @@ def facts(df: DataFrame, key: list[str], ts: Column, reason: str, subject: Colum
 
 
 def event_facts(spark: SparkSession, detections: list[DataFrame], key: list[str]) -> DataFrame:
-    """Union of detector rows with type and message. The catalog is a constant of 27 rows, hence broadcast."""
+    """Union of detector rows with type and message. The catalog is a constant of 27 rows, hence broadcast.
+
+    A reason that the catalog does not have is a warning whose message is reason and subject.
+    """
     rows = detections[0]
     for d in detections[1:]:
         rows = rows.unionByName(d)
-    typed = rows.join(F.broadcast(reason_catalog(spark)), "reason")
-    return typed.select(*key, "ts", "type", "reason", F.replace("template", F.lit("%s"), F.col("subject")).alias("message"))
+    typed = rows.join(F.broadcast(reason_catalog(spark)), "reason", "left")
+    message = F.replace(F.coalesce("template", F.concat("reason", F.lit(": %s"))), F.lit("%s"), F.col("subject"))
+    return typed.select(*key, "ts", F.coalesce("type", F.lit("Warning")).alias("type"), "reason", message.alias("message"))

@@ -44,8 +44,8 @@ def assemble_multiline(
 ) -> DataFrame:
     """Records of a log: a line that starts none belongs to the record before it.
 
-    A record that runs over a chunk border comes as several parts in order, so no task ever
-    holds more than one chunk of lines, however long the record or the file is.
+    Lines are joined inside a chunk first and the pieces of a record, one a chunk, after that, so that a file
+    of any size spreads over tasks and a record is whole, however many chunks it runs over.
     """
     order = [F.col(seq)]
     chunk = F.floor(F.col(seq) / lines_per_chunk)
@@ -55,7 +55,11 @@ def assemble_multiline(
         F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("text"),
         F.count("*").alias("lines"), F.min(seq).alias("first_seq"),
     )
-    return parts.select(*key, "record", F.col(CHUNK).alias("part"), "first_seq", "lines", "text")
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(CHUNK).alias("c"), F.col("text").alias("t"))))
+    return parts.groupBy(*key, "record").agg(
+        F.min("first_seq").alias("first_seq"), F.sum("lines").alias("lines"),
+        F.array_join(F.transform(pieces, lambda x: x["t"]), "\n").alias("text"),
+    )
 
 
 def with_month(df: DataFrame, ts: str) -> DataFrame:

@@ -56,13 +56,12 @@ def availability_stream(
 
 
 def multiline_stream(
-    df: DataFrame, key: list[str], text: str, is_start: Column, lines_per_chunk: int = 10000, silence_s: int = 30,
-    delay: str = POLL_DELAY,
+    df: DataFrame, key: list[str], text: str, is_start: Column, silence_s: int = 30, delay: str = POLL_DELAY,
 ) -> DataFrame:
     rows = df.select(*key, "ts", "seq", F.col(text).alias("text"), is_start.alias("is_start"))
     return _apply(
-        rows, key, Multiline(key, lines_per_chunk, silence_s),
-        "record bigint, part bigint, first_seq bigint, lines bigint, text string", delay,
+        rows, key, Multiline(key, silence_s),
+        "record bigint, first_seq bigint, lines bigint, text string", delay,
     )
 
 

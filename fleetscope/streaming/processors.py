@@ -220,38 +220,37 @@ class Availability(_Timed):
 class Multiline(_Timed):
     """Joins lines (``text``) that start no record (``is_start``) to the record before.
 
-    The record is emitted with the next start, at a chunk border as a part, or after silence.
+    The record is emitted whole with the next start, or after silence.
     """
 
-    state_schema = "record bigint, part bigint, first_seq bigint, lines bigint, text string, due_us bigint"
+    state_schema = "record bigint, first_seq bigint, lines bigint, text string, due_us bigint"
     inputs = ["text", "is_start"]
-    outputs = ["record", "part", "first_seq", "lines", "text"]
-    initial = (0, 0, 0, 0, "", 0)
+    outputs = ["record", "first_seq", "lines", "text"]
+    initial = (0, 0, 0, "", 0)
 
-    def __init__(self, keys, lines_per_chunk, silence_s):
-        self.keys, self.per_chunk, self.wait_us = keys, lines_per_chunk, silence_s * 1000000
+    def __init__(self, keys, silence_s):
+        self.keys, self.wait_us = keys, silence_s * 1000000
 
     def expire(self, state, out):
-        record, part, first, lines, text, _due = state
+        record, first, lines, text, _due = state
         if lines:
-            out.append((record, part, first, lines, text))
-        return [record, part, 0, 0, "", 0]
+            out.append((record, first, lines, text))
+        return [record, 0, 0, "", 0]
 
     def step(self, key, state, ts, seq, values, out):
         text, starts = values
-        part = seq // self.per_chunk
-        if state[3] and (starts or part != state[1]):
-            if state[5]:
-                self.disarm(state[5])
+        if state[2] and starts:
+            if state[4]:
+                self.disarm(state[4])
             state = self.expire(state, out)
-        record, _part, first, lines, held, due = state
+        record, first, lines, held, due = state
         if due:
             self.disarm(due)
         due = ts.value // MICRO + self.wait_us
         self.arm(due)
         if lines == 0:
-            return [record + (1 if starts else 0), part, seq, 1, text, due]
-        return [record, part, first, lines + 1, f"{held}\n{text}", due]
+            return [record + (1 if starts else 0), seq, 1, text, due]
+        return [record, first, lines + 1, f"{held}\n{text}", due]
 
 
 def _stamp(us):

@@ -234,11 +234,11 @@ def test_membership_ignores_repeats(spark):
     assert rows == {1: (1, 1, 1, False), 2: (0, 0, 1, True)}
 
 
-def test_long_records_come_in_parts(spark):
+def test_records_cross_chunk_borders_whole(spark):
     lines = [(1, i, f"line {i}") for i in range(25)]
     df = spark.createDataFrame(lines, "f int, s bigint, t string")
-    rows = assemble_multiline(df, ["f"], "s", "t", F.col("s") == 3, 10).orderBy("record", "part").collect()
-    assert [(r["record"], r["part"], r["lines"]) for r in rows] == [(0, 0, 3), (1, 0, 7), (1, 1, 10), (1, 2, 5)]
+    rows = assemble_multiline(df, ["f"], "s", "t", F.col("s") == 3, 10).orderBy("record").collect()
+    assert [(r["record"], r["first_seq"], r["lines"]) for r in rows] == [(0, 0, 3), (1, 3, 22)]
     assert "\n".join(r["text"] for r in rows) == "\n".join(x[2] for x in lines)
 
 
