@@ -182,11 +182,16 @@ def join(
     asked = f"least({SHARED}, (n * {percent} + 99) div 100)"
     held = common.written(held, "matrix")
     able = common.written(held.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"k >= {asked}").select("cls"), "able")
-    held = held.join(able, "cls")
-    centres = held.groupBy("r").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).where("centre != last").select("r", "centre")
-    held = common.written(held.join(centres, "r").select("r", "cls", "n", "centre"), "matrix")
-    home = held.groupBy("cls", "centre").agg(F.count("*").alias("k"), F.first("n").alias("n")).groupBy("cls").agg(F.max(F.struct("k", -F.col("centre"))).alias("best"), F.first("n").alias("n"))
-    home = home.select("cls", "n", (-F.col("best.col2")).alias("centre"))
+    held = common.written(held.join(able, "cls"), "matrix")
+    # the centre of a token is the class whose first tokens are the most common: of near copies, what they are copies of
+    common_to = held.groupBy("r").agg(F.count("*").alias("classes")).where("classes > 1")
+    held = common.written(held.join(common_to, "r"), "matrix")
+    score = held.groupBy("cls").agg(F.sum("classes").alias("score"))
+    held = held.join(score, "cls")
+    centres = held.groupBy("r").agg(F.max(F.struct("score", "cls"))["cls"].alias("centre"))
+    held = common.written(held.join(centres, "r").select("r", "cls", "n", "score", "centre"), "matrix")
+    best = held.groupBy("cls", "centre").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    home = best.groupBy("cls").agg(F.max(F.struct("k", "centre"))["centre"].alias("centre"), F.first("n").alias("n"))
     cuts = home.groupBy("centre").agg(F.expr(f"cast(ceil(count(*) / {group}) as int)").alias("cuts"))
     home = common.written(home.join(cuts, "centre").select("cls", "n", "centre", "cuts", F.expr("cast(pmod(xxhash64(cls), cuts) as int)").alias("part")), "groups")
     sets = common.written(_once_each(texts, width, "cls long, t string", lambda cls, _, t: ([cls], [t])).join(home.select("cls"), "cls").dropDuplicates(["cls"]), "texts")
