@@ -128,7 +128,7 @@ class Encoder:
     tokens go to the library whole, words with uncommon letters one by one. ``words``: how many are kept.
     """
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), words
@@ -153,7 +153,8 @@ class Encoder:
                 offsets.append(len(self.flat))  # a plain word has no space but its own first one
             ids = pieces.get(piece)
             if ids is None:
-                ids = pieces[piece] = array.array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))])
+                shown = "\u0120" + piece[1:] if piece[0] == " " and piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(letters)
+                ids = pieces[piece] = tuple([t.id for t in tokenize(shown)])
             extend(ids)
         if plain:
             offsets.append(len(self.flat))
