@@ -6,7 +6,8 @@ matrix; the overlap of a class with a group is bounded by the tokens they share,
 hold a partner are opened.
 
 Of a set of n tokens in one global order, the first n - need + k (need: the least overlap of a partner) hold
-k that a partner has among its own first ones. So the rows of the matrix, and the bound, need these alone.
+k that a partner has among its own first ones. So the rows of the matrix, and the bound, need these alone. With
+the sizes of both sets the overlap is known better: ``within`` tells which places still count for such a pair.
 """
 
 import hashlib
@@ -22,6 +23,8 @@ from .graph import components
 #: group size that a task compares in full, number of frequent tokens that are ordered last, first tokens that partners share
 GROUP, FREQUENT, SHARED = 256, 65_536, 8
 _COLD = 1 << 62
+#: tokens that a task counts at a time, and counts that it keeps in between
+COUNTED, KEPT = 1 << 22, 1 << 20
 
 
 def set_of(text: str | None, width: int) -> np.ndarray:
@@ -43,6 +46,41 @@ def linked(common_size, n, m, percent: int):
     return 100 * common_size >= percent * (n + m - common_size)
 
 
+def within(n: str, place: str, m: str, percent: int) -> str:
+    """SQL: whether the token at ``place`` of a set of ``n`` is among the first that count against a partner of ``m`` tokens.
+
+    These are n - overlap + SHARED, with the least overlap percent * (n + m) / (100 + percent). ``m`` may be a lower bound.
+    """
+    return f"{percent} * {m} <= 100 * {n} - {100 + percent} * ({place} - {SHARED - 1})"
+
+
+class Counts:
+    """How often tokens occur, in bounded memory: tokens met once in a whole batch, or seldom where too many are kept, are forgotten."""
+
+    def __init__(self):
+        self.tokens, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        self.size += len(tokens)
+        if self.size >= COUNTED:
+            self.settle()
+
+    def settle(self):
+        if self.waiting:
+            tokens, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+            often = counts > 1
+            tokens, at = np.unique(np.concatenate((self.tokens, tokens[often])), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate((self.counts, counts[often])), minlength=len(tokens)).astype(np.int64)
+            if len(tokens) > KEPT:
+                keep = np.sort(np.argpartition(counts, -KEPT)[-KEPT:])
+                tokens, counts = tokens[keep], counts[keep]
+            self.tokens, self.counts, self.waiting, self.size = tokens, counts, [], 0
+        return self.tokens, self.counts
+
+
 def first_tokens(tokens: np.ndarray, order, percent: int) -> np.ndarray:
     """Ranks of the tokens that stand first in the global order: rare ones by hash, then the frequent ones, most frequent last.
 
@@ -59,13 +97,12 @@ def first_tokens(tokens: np.ndarray, order, percent: int) -> np.ndarray:
     return ranks[: len(tokens) - least + min(SHARED, least)]
 
 
-def _classes(documents: DataFrame, width: int, percent: int) -> DataFrame:
+def _classes(documents: DataFrame, width: int) -> DataFrame:
     """(d, cls, n, tok, c): a row for each document with its class and set size, and rows (tok, c) for tokens frequent within one task."""
     kind = documents.schema["d"].dataType.simpleString()
-    none = (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def run(batches):
-        seen, firsts = set(), []
+        seen, often = set(), Counts()
         names = ["d", "cls", "n", "tok", "c"]
         for batch in batches:
             sets = [set_of(t, width) for t in batch.column(1).to_pylist()]
@@ -73,12 +110,12 @@ def _classes(documents: DataFrame, width: int, percent: int) -> DataFrame:
             for own, cls in zip(sets, classes):
                 if len(own) and cls not in seen:
                     seen.add(cls)
-                    firsts.append(first_tokens(own, none, percent))
+                    often.add((own >> np.uint64(2)).astype(np.int64))
             n = len(sets)
             kind_of = batch.column(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-        if firsts:
-            tokens, count = np.unique(np.concatenate(firsts), return_counts=True)
+        if seen:
+            tokens, count = often.settle()
             tokens, count = tokens[count > 2], count[count > 2]
             k = len(tokens)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, kind_of), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tokens, pa.int64()), pa.array(count, pa.int64())], names)
@@ -162,19 +199,19 @@ def join(
     common.small_batches(spark)
     rows = documents.select(F.col(doc).alias("d"), F.col(text).alias("t"))
     texts = rows.where(F.length("t") > 0)
-    found = common.written(_classes(rows, width, percent), "classes")
+    found = common.written(_classes(rows, width), "classes")
     own = found.where("cls IS NOT NULL").select("d", "cls", "n")
-    hot = found.where("tok IS NOT NULL").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "tok").limit(frequent).collect()
-    names, counts = np.array([h.tok for h in hot], np.int64), np.array([h.c for h in hot], np.int64)
+    hot = found.where("tok IS NOT NULL").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "tok").limit(frequent).toArrow()
+    names, counts = hot["tok"].to_numpy(), hot["c"].to_numpy()
     by_name, place = np.argsort(names), np.empty(len(names), np.int64)
     place[np.lexsort((names, counts))] = np.arange(len(names))
     shared = spark.sparkContext.broadcast((names[by_name], place[by_name]))
 
     def firsts(cls, tokens, _):
         ranks = first_tokens(tokens, shared.value, percent)
-        return ranks, np.full(len(ranks), cls, np.int64), np.full(len(ranks), len(tokens), np.int64)
+        return ranks, np.full(len(ranks), cls, np.int64), np.full(len(ranks), len(tokens), np.int64), np.arange(len(ranks))
 
-    postings = _once_each(texts, width, "r long, cls long, n long", firsts)
+    postings = _once_each(texts, width, "r long, cls long, n long, place long", firsts)
     # ---- groups: classes that share first tokens, around the least class of each token
     tokens = common.written(postings.groupBy("r").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("r"), "tokens")
     held = postings.join(tokens.select("r"), "r").distinct()
@@ -189,7 +226,7 @@ def join(
     score = held.groupBy("cls").agg(F.sum("classes").alias("score"))
     held = held.join(score, "cls")
     centres = held.groupBy("r").agg(F.max(F.struct("score", "cls"))["cls"].alias("centre"))
-    held = common.written(held.join(centres, "r").select("r", "cls", "n", "score", "centre"), "matrix")
+    held = common.written(held.join(centres, "r").select("r", "cls", "n", "place", "score", "centre"), "matrix")
     best = held.groupBy("cls", "centre").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     home = best.groupBy("cls").agg(F.max(F.struct("k", "centre"))["centre"].alias("centre"), F.first("n").alias("n"))
     cuts = home.groupBy("centre").agg(F.expr(f"cast(ceil(count(*) / {group}) as int)").alias("cuts"))
@@ -201,19 +238,25 @@ def join(
     inside = members.join(sets, "cls").groupBy("centre", "part").applyInPandas(_compared(width, percent), "cls long, comp long")
     inside = common.written(inside.where("cls != comp").select(F.col("cls").alias("a"), F.col("comp").alias("b")), "inside")
     # ---- the matrix: unions of the groups, bound, opened groups
-    labels = common.written(components(inside), "labels")
-    placed = held.join(labels, held["cls"] == labels["node"], "left").select("r", "cls", "n", F.coalesce("label", "cls").alias("grp"))
+    labels = components(inside)
+    labels = common.written(labels.join(labels.groupBy("label").agg(F.count("*").alias("members")), "label"), "labels")
+    placed = held.join(labels, held["cls"] == labels["node"], "left").select("r", "cls", "n", "place", F.coalesce("label", "cls").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     open_tokens = placed.groupBy("r").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("r")
     placed = common.written(placed.join(open_tokens, "r").join(home.select("cls", "centre", "part"), "cls"), "placed")
-    unions = placed.groupBy("r", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("grp").alias("gx"))
-    # the bound: a class and a group with fewer shared first tokens hold no partners; sizes bound the rest
-    few = lambda a, b: f"least({SHARED}, ({a} * {percent} + 99) div 100, ({b} * {percent} + 99) div 100)"
-    bound = asks.join(unions, "r").where(f"gx < grp AND least * {percent} <= nx * 100 AND most * 100 >= nx * {percent}")
+    # of a token and a group: sizes of the members that hold it, and the largest partner for which its place counts
+    unions = placed.groupBy("r", "grp").agg(
+        F.first("members").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr(f"100 * n - {100 + percent} * (place - {SHARED - 1})")).alias("reach")
+    )
+    asks = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("grp").alias("gx"), F.col("members").alias("mx"))
+    # the bound: a class and a group with fewer shared first tokens hold no partners; sizes bound the rest. The smaller group asks the larger one
+    few = lambda a, b: f"least({SHARED}, ({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+    bound = asks.join(unions, "r").where(
+        f"(mx < members OR (mx = members AND gx < grp)) AND least * {percent} <= nx * 100 AND most * 100 >= nx * {percent} AND {percent} * nx <= reach AND {within('nx', 'px', 'least', percent)}"
+    )
     opened = bound.groupBy("x", "grp").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.min("least").alias("least")).where(f"overlap >= {few('nx', 'least')}")
-    left = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("centre").alias("cx"), F.col("part").alias("px")).join(opened.select("x", "grp"), "x")
-    pairs = left.join(placed.select("r", F.col("cls").alias("y"), "grp", "n", "centre", "part"), ["r", "grp"]).where(
-        f"100 * least(n, nx) >= {percent} * greatest(n, nx) AND NOT (cx = centre AND px = part) AND y != cx AND x != centre"
+    left = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("place").alias("at"), F.col("centre").alias("cx"), F.col("part").alias("px")).join(opened.select("x", "grp"), "x")
+    pairs = left.join(placed.select("r", F.col("cls").alias("y"), "grp", "n", "place", "centre", "part"), ["r", "grp"]).where(
+        f"100 * least(n, nx) >= {percent} * greatest(n, nx) AND NOT (cx = centre AND px = part) AND y != cx AND x != centre AND {within('nx', 'at', 'n', percent)} AND {within('n', 'place', 'nx', percent)}"
     ).groupBy("x", "y").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.first("n").alias("n")).where(f"overlap >= {few('nx', 'n')}").select("x", "y")
     pairs = pairs.join(sets.select(F.col("cls").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("cls").alias("y"), F.col("t").alias("ty")), "y").select("x", "y", "tx", "ty")
     across = pairs.mapInArrow(_verified(width, percent), "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
