@@ -25,6 +25,8 @@ GROUP, FREQUENT, SHARED = 256, 65_536, 8
 _COLD = 1 << 62
 #: tokens that a task counts at a time, and counts that it keeps in between
 COUNTED, KEPT = 1 << 22, 1 << 20
+#: classes, of 8 bytes, that are sent to every task to choose their texts; more are joined by a shuffle
+SENT = 500_000
 
 
 def set_of(text: str | None, width: int) -> np.ndarray:
@@ -213,25 +215,28 @@ def join(
 
     postings = _once_each(texts, width, "r long, cls long, n long, place long", firsts)
     # ---- groups: classes that share first tokens, around the least class of each token
-    tokens = common.written(postings.groupBy("r").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("r"), "tokens")
-    held = postings.join(tokens.select("r"), "r").distinct()
-    # first tokens that a class shares with any one partner; with fewer in all it has none
+    # copies in two tasks count a token twice here; the distinct rows are counted again below
+    tokens = common.written(postings.groupBy("r").agg(F.count("*").alias("k")).where("k > 1").select("r"), "tokens")
+    held = common.written(postings.join(tokens, "r").distinct(), "matrix")
+    # a place counts where it does against some partner of the token; a class with fewer of them than it shares with any partner has none
+    reach = F.max(F.expr(f"100 * n - {100 + percent} * (place - {SHARED - 1})")).alias("reach")
+    counts = f"{percent} * n <= reach AND {within('n', 'place', f'greatest(least, (n * {percent} + 99) div 100)', percent)}"
     asked = f"least({SHARED}, (n * {percent} + 99) div 100)"
-    held = common.written(held, "matrix")
-    able = common.written(held.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"k >= {asked}").select("cls"), "able")
-    held = common.written(held.join(able, "cls"), "matrix")
+    holders = held.groupBy("r").agg(F.count("*").alias("classes"), F.min("n").alias("least"), reach).where("classes > 1")
+    held = common.written(held.join(holders, "r").where(counts).select("r", "cls", "n", "place", "classes"), "matrix")
+    score = held.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.sum("classes").alias("score")).where(f"k >= {asked}").select("cls", "score")
+    held = common.written(held.join(score, "cls").drop("classes"), "matrix")
     # the centre of a token is the class whose first tokens are the most common: of near copies, what they are copies of
-    common_to = held.groupBy("r").agg(F.count("*").alias("classes")).where("classes > 1")
-    held = common.written(held.join(common_to, "r"), "matrix")
-    score = held.groupBy("cls").agg(F.sum("classes").alias("score"))
-    held = held.join(score, "cls")
-    centres = held.groupBy("r").agg(F.max(F.struct("score", "cls"))["cls"].alias("centre"))
-    held = common.written(held.join(centres, "r").select("r", "cls", "n", "place", "score", "centre"), "matrix")
+    centres = held.groupBy("r").agg(F.max(F.struct("score", "cls"))["cls"].alias("centre"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    held = common.written(held.join(centres, "r").select("r", "cls", "n", "place", "centre"), "matrix")
     best = held.groupBy("cls", "centre").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     home = best.groupBy("cls").agg(F.max(F.struct("k", "centre"))["centre"].alias("centre"), F.first("n").alias("n"))
     cuts = home.groupBy("centre").agg(F.expr(f"cast(ceil(count(*) / {group}) as int)").alias("cuts"))
     home = common.written(home.join(cuts, "centre").select("cls", "n", "centre", "cuts", F.expr("cast(pmod(xxhash64(cls), cuts) as int)").alias("part")), "groups")
-    sets = common.written(_once_each(texts, width, "cls long, t string", lambda cls, _, t: ([cls], [t])).join(home.select("cls"), "cls").dropDuplicates(["cls"]), "texts")
+    wanted = home.select("cls")
+    if home.count() <= SENT:  # else both sides are dealt by class
+        wanted = F.broadcast(wanted)
+    sets = common.written(_once_each(texts, width, "cls long, t string", lambda cls, _, t: ([cls], [t])).join(wanted, "cls").dropDuplicates(["cls"]), "texts")
     members = home.select("cls", "centre", "part").unionByName(
         home.groupBy("centre").agg(F.max("cuts").alias("cuts")).select(F.col("centre").alias("cls"), "centre", F.explode(F.expr("sequence(0, cuts - 1)")).alias("part"))
     ).distinct()
@@ -241,11 +246,13 @@ def join(
     labels = components(inside)
     labels = common.written(labels.join(labels.groupBy("label").agg(F.count("*").alias("members")), "label"), "labels")
     placed = held.join(labels, held["cls"] == labels["node"], "left").select("r", "cls", "n", "place", F.coalesce("label", "cls").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
-    open_tokens = placed.groupBy("r").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("r")
-    placed = common.written(placed.join(open_tokens, "r").join(home.select("cls", "centre", "part"), "cls"), "placed")
+    open_tokens = placed.groupBy("r").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("least"), reach).where("lo != hi")
+    placed = common.written(placed.join(open_tokens, "r").where(counts).select("r", "cls", "n", "place", "grp", "members"), "placed")
+    able = placed.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"k >= {asked}").select("cls")
+    placed = common.written(placed.join(able, "cls").join(home.select("cls", "centre", "part"), "cls"), "placed")
     # of a token and a group: sizes of the members that hold it, and the largest partner for which its place counts
     unions = placed.groupBy("r", "grp").agg(
-        F.first("members").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr(f"100 * n - {100 + percent} * (place - {SHARED - 1})")).alias("reach")
+        F.first("members").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), reach
     )
     asks = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("grp").alias("gx"), F.col("members").alias("mx"))
     # the bound: a class and a group with fewer shared first tokens hold no partners; sizes bound the rest. The smaller group asks the larger one
