@@ -22,6 +22,8 @@ from .graph import components
 
 #: group size that a task compares in full, number of frequent tokens that are ordered last, first tokens that partners share
 GROUP, FREQUENT, SHARED = 256, 65_536, 8
+#: the same for two classes, where fewer places make fewer rows
+PAIRED = 2
 _COLD = 1 << 62
 #: tokens that a task counts at a time, and counts that it keeps in between
 COUNTED, KEPT = 1 << 22, 1 << 20
@@ -48,12 +50,12 @@ def linked(common_size, n, m, percent: int):
     return 100 * common_size >= percent * (n + m - common_size)
 
 
-def within(n: str, place: str, m: str, percent: int) -> str:
+def within(n: str, place: str, m: str, percent: int, shared: int = SHARED) -> str:
     """SQL: whether the token at ``place`` of a set of ``n`` is among the first that count against a partner of ``m`` tokens.
 
-    These are n - overlap + SHARED, with the least overlap percent * (n + m) / (100 + percent). ``m`` may be a lower bound.
+    These are n - overlap + shared, with the least overlap percent * (n + m) / (100 + percent). ``m`` may be a lower bound.
     """
-    return f"{percent} * {m} <= 100 * {n} - {100 + percent} * ({place} - {SHARED - 1})"
+    return f"{percent} * {m} <= 100 * {n} - {100 + percent} * ({place} - {shared - 1})"
 
 
 class Counts:
@@ -256,15 +258,15 @@ def join(
     )
     asks = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("grp").alias("gx"), F.col("members").alias("mx"))
     # the bound: a class and a group with fewer shared first tokens hold no partners; sizes bound the rest. The smaller group asks the larger one
-    few = lambda a, b: f"least({SHARED}, ({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+    few = lambda a, b, shared: f"least({shared}, ({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
     bound = asks.join(unions, "r").where(
         f"(mx < members OR (mx = members AND gx < grp)) AND least * {percent} <= nx * 100 AND most * 100 >= nx * {percent} AND {percent} * nx <= reach AND {within('nx', 'px', 'least', percent)}"
     )
-    opened = bound.groupBy("x", "grp").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.min("least").alias("least")).where(f"overlap >= {few('nx', 'least')}")
+    opened = bound.groupBy("x", "grp").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.min("least").alias("least")).where(f"overlap >= {few('nx', 'least', SHARED)}")
     left = placed.select("r", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("place").alias("at"), F.col("centre").alias("cx"), F.col("part").alias("px")).join(opened.select("x", "grp"), "x")
     pairs = left.join(placed.select("r", F.col("cls").alias("y"), "grp", "n", "place", "centre", "part"), ["r", "grp"]).where(
-        f"100 * least(n, nx) >= {percent} * greatest(n, nx) AND NOT (cx = centre AND px = part) AND y != cx AND x != centre AND {within('nx', 'at', 'n', percent)} AND {within('n', 'place', 'nx', percent)}"
-    ).groupBy("x", "y").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.first("n").alias("n")).where(f"overlap >= {few('nx', 'n')}").select("x", "y")
+        f"100 * least(n, nx) >= {percent} * greatest(n, nx) AND NOT (cx = centre AND px = part) AND y != cx AND x != centre AND {within('nx', 'at', 'n', percent, PAIRED)} AND {within('n', 'place', 'nx', percent, PAIRED)}"
+    ).groupBy("x", "y").agg(F.count("*").alias("overlap"), F.first("nx").alias("nx"), F.first("n").alias("n")).where(f"overlap >= {few('nx', 'n', PAIRED)}").select("x", "y")
     pairs = pairs.join(sets.select(F.col("cls").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("cls").alias("y"), F.col("t").alias("ty")), "y").select("x", "y", "tx", "ty")
     across = pairs.mapInArrow(_verified(width, percent), "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
     across = common.written(across, "across")
