@@ -15,11 +15,19 @@ def keep_quality(spark, docs, sf_dir):
     return quality.keep_good(docs, quality.fit(quality.measure(docs), labels))
 
 
+def _with_rows(docs):
+    """The documents with a number for each row, written, so that it stays the same row's."""
+    return common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def keep_one_of_each_group(spark, docs, sf_dir):
-    """Of documents connected by near-equal shingle sets only the one with the smallest id stays; rows without an id stay."""
-    groups = jaccard_join.join(docs, width=5, percent=80)
-    extra = groups.where("n_shingles > 0 AND component_id < doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """Of documents connected by near-equal shingle sets only the one with the smallest id stays. Rows without an id go after all ids, then by row."""
+    rows = _with_rows(docs)
+    groups = jaccard_join.join(rows, width=5, percent=80, doc="__row").where("n_shingles > 0").select("__row", "component_id")
+    named = common.written(groups.join(rows.select("__row", "doc_id"), "__row"), "groups")
+    first = named.groupBy("component_id").agg(F.min("doc_id").alias("first_id"), F.min("__row").alias("first_row"), F.count("*").alias("n")).where("n > 1")
+    extra = named.join(first, "component_id").where("first_id < doc_id OR (doc_id IS NULL AND (first_id IS NOT NULL OR first_row < __row))").select("__row")
+    return rows.join(extra, "__row", "left_anti").select(docs.columns)
 
 
 def keep_uncontaminated(spark, docs, sf_dir):
@@ -28,9 +36,10 @@ def keep_uncontaminated(spark, docs, sf_dir):
 
 
 def take_mixture(spark, docs, sf_dir):
-    """Documents of the mixture, whole, once for each epoch that takes them. Rows without an id cannot be named in it."""
-    taken = mixing.mix(docs).select("doc_id", "epoch").distinct()
-    return docs.join(taken, "doc_id").select(docs.columns)
+    """Documents of the mixture, whole, once for each epoch that takes them."""
+    rows = _with_rows(docs)
+    taken = mixing.mix(rows, row="__row").select("__row", "epoch")
+    return rows.join(taken, "__row").select(docs.columns)
 
 
 def write_tokens(spark, docs, sf_dir):

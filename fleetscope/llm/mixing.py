@@ -88,7 +88,7 @@ def budgets(leaves: DataFrame, weights, budget: Column, epochs: int, levels=LEVE
 
 def mix(
     documents: DataFrame, weights=WEIGHTS, share: float = 0.5, epochs: int = 4, seed: int = SEED, bucket_rows: int = 20_000,
-    doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
+    doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", row: str | None = None,
 ) -> DataFrame:
     """The mixture: ``doc``, domain, lang, source, epoch, start, n_tokens, take.
 
@@ -99,15 +99,15 @@ def mix(
 
     Null texts and texts without words have no tokens and are not chosen. Null languages and sources are
     names of their own. A null id takes the place of an empty one; rows of equal order are taken by n_tokens,
-    then as they come. Repeated rows are documents of their own. An empty table gives no rows. Other
+    then as they come. A column named by ``row`` is handed through, so that rows can be found again. Repeated rows are documents of their own. An empty table gives no rows. Other
     columns are not read.
 
     A leaf's order is cut into ranges of the hash, about ``bucket_rows`` rows each by the leaf's count; running
     totals run inside a range and over the ranges' totals, so that a leaf of any size spreads over many tasks.
     """
-    keys = list(LEVELS)
+    keys, also = list(LEVELS), [row] if row else []
     rows = common.written(documents.select(
-        F.col(doc).alias("id"), domain_of(F.col(source)).alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source"), words_in(F.col(text)).alias("n"),
+        F.col(doc).alias("id"), domain_of(F.col(source)).alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source"), words_in(F.col(text)).alias("n"), *also,
     ).where("n > 0"), "tokens")
     leaves = rows.groupBy(*keys).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
     total = F.expr(f"cast(cast(tokens as {_WIDE}) * {round(share * 1_000_000)} div 1000000 as long)")
@@ -120,7 +120,7 @@ def mix(
     same_leaf = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
     with_plan = rows.join(plan, same_leaf).drop(*[f"__{c}" for c in keys])
     whole = with_plan.where("whole > 0").select(
-        "id", *keys, F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("epoch"), F.lit(None).cast("long").alias("start"), "n", F.col("n").alias("take")
+        "id", *also, *keys, F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("epoch"), F.lit(None).cast("long").alias("start"), "n", F.col("n").alias("take")
     )
     mark = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     part = with_plan.where("rest > 0").withColumn("mark", mark)
@@ -132,8 +132,8 @@ def mix(
     part = part.join(sums, [*same_leaf, F.col("bucket") == F.col("__bucket")]).where("base < rest")
     inside = Window.partitionBy(*keys, "bucket").orderBy("mark", "n").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).where("start < rest")
-    part = part.select("id", *keys, F.col("whole").cast("int").alias("epoch"), "start", "n", F.least("n", F.col("rest") - F.col("start")).alias("take"))
-    return whole.unionByName(part).select(F.col("id").alias(doc), *keys, "epoch", "start", F.col("n").alias("n_tokens"), "take")
+    part = part.select("id", *also, *keys, F.col("whole").cast("int").alias("epoch"), "start", "n", F.least("n", F.col("rest") - F.col("start")).alias("take"))
+    return whole.unionByName(part).select(F.col("id").alias(doc), *keys, "epoch", "start", F.col("n").alias("n_tokens"), "take", *also)
 
 
 def query(spark, sf_dir):
