@@ -4,7 +4,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: letters that count as capitals, and what they become
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +46,29 @@ def small_batches(spark: SparkSession, limit: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 
 
+# ---- vectors --------------------------------------------------------------------------------------
+
+
+def vectors(df: DataFrame, vec: str, embedding: str) -> tuple[DataFrame, int, int]:
+    """Rows (id, e: doubles) whose vector takes part, their length, and how many they are.
+
+    A vector takes part when it is not null, holds no null or non-finite entry and has the length most of
+    these have (of equally frequent lengths the greater); an empty vector never does. Length 0: no row does.
+    """
+    e = F.col("e")
+    rows = df.select(F.col(vec).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).where(
+        (F.size(e) > 0) & F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    )
+    lengths = rows.groupBy(F.size(e).alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).limit(1).collect()
+    dims, n = (lengths[0]["dims"], lengths[0]["count"]) if lengths else (0, 0)
+    return rows.where(F.size(e) == dims), dims, n
+
+
+def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
+    """A column of lists of ``dims`` doubles as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
 # ---- words and shingles as numbers ----------------------------------------------------------------
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])

@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import decontaminate, html_text, jaccard_join, mixing, neighbours, quality, secrets, substring_dedup, token_files, url_filter
+from . import ball_tree, decontaminate, html_text, jaccard_join, mixing, neighbours, quality, secrets, spelling, substring_dedup, token_files, url_filter, whitening
 
 _OPERATORS = {
     "op1_secrets": secrets,
@@ -13,6 +13,9 @@ _OPERATORS = {
     "op7_substring_dedup": substring_dedup,
     "op8_decontaminate": decontaminate,
     "op10_quality": quality,
+    "op11_whitening": whitening,
+    "op12_top_k": ball_tree,
+    "op13_spelling": spelling,
 }
 
 
