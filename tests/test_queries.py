@@ -37,7 +37,7 @@ def table(cols, rows):
     return sorted(tuple(normal(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     cur = con.execute(entry.oracle_sql()[name])
