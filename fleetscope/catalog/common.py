@@ -41,11 +41,3 @@ def candidates(fx) -> DataFrame:
         "lsn": position(F.col("lsn_text")), "pos": F.col("slot"),
         "is_primary": F.col("primary") == 1, "is_standby": F.col("standby") == 1, "is_normal": F.col("chkrepl") == 1,
     })
-
-
-def day(name: str):
-    return F.date_trunc("day", F.col(name))
-
-
-def month(name: str):
-    return F.date_trunc("month", F.col(name))

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.chunked import ByCount, by_minute
 from ..operators.capacity import percent
 from ..operators.history import (
     change_points, consecutive_failures, fullest_volumes, latest_snapshot, spec_in_force, state_intervals,
     sync_by_priority, transition_matrix,
 )
-from .common import ORDER, day, month, sync
+from .common import ORDER, sync
 from .registry import query
 
 EVENT_ORDER = ["ts", "event_id"]
@@ -28,7 +29,7 @@ SELECT * FROM (
 ) s WHERE state IS DISTINCT FROM previous
 """)
 def _(fx):
-    return change_points(fx("fx_state"), ["cluster_id"], EVENT_ORDER, F.col("state"), day("ts")).drop("value")
+    return change_points(fx("fx_state"), ["cluster_id"], EVENT_ORDER, F.col("state"), by_minute("ts")).drop("value")
 
 
 @query("state_intervals", """
@@ -41,7 +42,7 @@ SELECT cluster_id, state, ts AS valid_from, lead(ts) OVER w AS valid_to,
 FROM c WINDOW w AS (PARTITION BY cluster_id ORDER BY ts, event_id)
 """)
 def _(fx):
-    spans = state_intervals(fx("fx_state"), ["cluster_id"], EVENT_ORDER, F.col("state"), day("ts"), month("ts"))
+    spans = state_intervals(fx("fx_state"), ["cluster_id"], EVENT_ORDER, F.col("state"), by_minute("ts"))
     return spans.select(
         "cluster_id", F.col("value").alias("state"), "valid_from", "valid_to",
         F.timestamp_diff("MICROSECOND", F.col("valid_from"), F.col("valid_to")).alias("duration_us"))
@@ -60,7 +61,7 @@ FROM s WHERE from_state IS NOT NULL GROUP BY ALL
 """)
 def _(fx):
     return transition_matrix(
-        fx("fx_state"), ["cluster_id"], EVENT_ORDER, F.col("state"), 60000000, day("ts"), month("ts"))
+        fx("fx_state"), ["cluster_id"], EVENT_ORDER, F.col("state"), 60000000, by_minute("ts"))
 
 
 @query("consecutive_failures", """
@@ -72,7 +73,7 @@ FROM g WHERE NOT ok
 QUALIFY run_length = 5
 """)
 def _(fx):
-    return consecutive_failures(fx("fx_check"), ["instance_id"], EVENT_ORDER, F.col("ok"), 5, day("ts")).drop("ok")
+    return consecutive_failures(fx("fx_check"), ["instance_id"], EVENT_ORDER, F.col("ok"), 5, by_minute("ts")).drop("ok")
 
 
 @query("spec_in_force", """
@@ -86,7 +87,7 @@ def _(fx):
         F.col("event_id").alias("spec_id"))
     return spec_in_force(
         fx("fx_check").drop("ok"), specs, ["instance_id"], "ts", "spec_ts", ["spec_state", "spec_id"],
-        lambda at: F.date_trunc("day", at))
+        lambda at: ByCount(F.date_trunc("minute", at)), ["spec_id"])
 
 
 @query("sync_by_priority", """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.wal import to_text
+from ..operators.chunked import by_minute
 from ..operators.capacity import percent
 from ..operators.predicates import (
     build_text, idle_transactions, is_disconnected, is_ready, job_text, needs_configure, role_label, scope_filter,
@@ -16,7 +17,7 @@ from ..sources.fleet import with_labels
 from ..sources.logs import assemble_multiline, month_counts, tag_lines
 from ..sources.probes import parse_probe
 from ..sources.reports import parse_lsn, parse_replication
-from .common import STATE, SUMMARY, day, month, probes
+from .common import STATE, SUMMARY, probes
 from .registry import query
 
 
@@ -139,13 +140,13 @@ FROM q_stuck_states
 """)
 def _(fx):
     key = ["instance_id"]
-    full = storage_guard(fx("fx_usage"), key, ["ts", "event_id"], percent(F.col("usage_text")), day("ts")).where("switch = 'ON'")
+    full = storage_guard(fx("fx_usage"), key, ["ts", "event_id"], percent(F.col("usage_text")), by_minute("ts")).where("switch = 'ON'")
     mode = availability_switch(
-        fx("fx_sync_count"), ["cluster_id"], ["ts", "event_id"], F.col("synced"), F.col("expected"), 60, day("ts"), month("ts")
+        fx("fx_sync_count"), ["cluster_id"], ["ts", "event_id"], F.col("synced"), F.col("expected"), 60, by_minute("ts")
     ).withColumnRenamed("cluster_id", "instance_id")
     stuck = stuck_states(
         fx("fx_state"), ["cluster_id"], ["ts", "event_id"], F.col("state"), ["creating", "updating", "recovering"], 300,
-        day("ts"), month("ts"),
+        by_minute("ts"),
     ).withColumnRenamed("cluster_id", "instance_id")
     return event_facts(fx.spark, [
         facts(full, key, F.col("ts"), "SetDefaultTransaction", F.col("switch")),

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.chunked import by_minute
 from ..operators.capacity import log_retention, percent
 from ..operators.history import build_outcomes, job_outcomes, recovery_outcomes
 from ..operators.switches import availability_switch, missed_gaps, poll_coverage, storage_guard, stuck_states
-from .common import day, month
 from .registry import query
 
 ORDER = ["ts", "event_id"]
@@ -19,7 +19,7 @@ SELECT instance_id, ts, event_id, CASE WHEN on_now THEN 'ON' ELSE 'OFF' END AS s
 QUALIFY on_now <> coalesce(lag(on_now) OVER (PARTITION BY instance_id ORDER BY ts, event_id), false)
 """)
 def _(fx):
-    return storage_guard(fx("fx_usage"), ["instance_id"], ORDER, percent(F.col("usage_text")), day("ts"))
+    return storage_guard(fx("fx_usage"), ["instance_id"], ORDER, percent(F.col("usage_text")), by_minute("ts"))
 
 
 @query("availability_switch", """
@@ -43,7 +43,7 @@ QUALIFY m <> coalesce(lag(m) OVER (PARTITION BY cluster_id ORDER BY switched_at,
 """)
 def _(fx):
     return availability_switch(
-        fx("fx_sync_count"), ["cluster_id"], ORDER, F.col("synced"), F.col("expected"), 60, day("ts"), month("ts"))
+        fx("fx_sync_count"), ["cluster_id"], ORDER, F.col("synced"), F.col("expected"), 60, by_minute("ts"))
 
 
 @query("stuck_states", """
@@ -57,7 +57,7 @@ FROM v WHERE state IN ('creating', 'updating', 'recovering') AND coalesce(valid_
 def _(fx):
     return stuck_states(
         fx("fx_state"), ["cluster_id"], ORDER, F.col("state"), ["creating", "updating", "recovering"], 300,
-        day("ts"), month("ts"))
+        by_minute("ts"))
 
 
 @query("recovery_outcomes", """
@@ -73,7 +73,7 @@ UNION ALL
 SELECT instance_id, ts, event_id, 'fail', n FROM b WHERE NOT ok AND n = 4
 """)
 def _(fx):
-    return recovery_outcomes(fx("fx_check"), ["instance_id"], ORDER, F.col("ok"), 3, day("ts"))
+    return recovery_outcomes(fx("fx_check"), ["instance_id"], ORDER, F.col("ok"), 3, by_minute("ts"))
 
 
 @query("job_outcomes", """
@@ -102,9 +102,9 @@ SELECT attempt_id, 'build', outcome, checks FROM (
 def _(fx):
     jobs = fx("fx_job")
     key = ["attempt_id"]
-    backup = job_outcomes(jobs, key, ORDER, "job_code", 30, day("ts")).withColumn("kind", F.lit("backup"))
+    backup = job_outcomes(jobs, key, ORDER, "job_code", 30, by_minute("ts")).withColumn("kind", F.lit("backup"))
     build = build_outcomes(
-        jobs, key, ORDER, "build_code", F.col("is_standby"), F.col("is_normal"), 30, day("ts")
+        jobs, key, ORDER, "build_code", F.col("is_standby"), F.col("is_normal"), 30, by_minute("ts")
     ).withColumn("kind", F.lit("build"))
     return backup.unionByName(build)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .chunked import lag, last_known, lead, run_lengths, running_sum, with_measures
+from .chunked import ByCount, islands, last_known, run_lengths, running_sum, with_measures
 
 
 def latest_snapshot(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -17,27 +17,18 @@ def latest_snapshot(df: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 
 def change_points(
-    df: DataFrame, key: list[str], order: list[str], value: Column, chunk: Column | None
+    df: DataFrame, key: list[str], order: list[str], value: Column, chunk: Column | ByCount | None
 ) -> DataFrame:
     """Rows whose value differs from the previous row of the key; the first row counts as a change."""
-    ordered = [F.col(c) for c in order]
-    rows = df.withColumn("value", value)
-    seen = with_measures(
-        rows, key, ordered, chunk, _prev=lag(F.struct(F.col("value").alias("value")), ordered)
-    )
-    return seen.where(F.col("_prev").isNull() | ~F.col("_prev")["value"].eqNullSafe(F.col("value"))).select(
-        *rows.columns, F.col("_prev")["value"].alias("previous")
-    )
+    return islands(df, key, order, value, chunk).drop("next_at", "next_value")
 
 
 def state_intervals(
-    df: DataFrame, key: list[str], order: list[str], value: Column, chunk: Column | None, changes_chunk: Column | None
+    df: DataFrame, key: list[str], order: list[str], value: Column, chunk: Column | ByCount | None
 ) -> DataFrame:
     """valid_from / valid_to per state; the open interval has no valid_to. ``order[0]`` is the time."""
-    ordered = [F.col(c) for c in order]
-    changes = change_points(df, key, order, value, chunk).select(*key, *order, "value")
-    closed = with_measures(changes, key, ordered, changes_chunk, valid_to=lead(F.col(order[0]), ordered))
-    return closed.select(*key, "value", F.col(order[0]).alias("valid_from"), "valid_to", *order[1:])
+    return islands(df.select(*dict.fromkeys([*key, *order]), value.alias("_value")), key, order, F.col("_value"), chunk).select(
+        *key, "value", F.col(order[0]).alias("valid_from"), F.col("next_at").alias("valid_to"), *order[1:])
 
 
 def micros(start: Column, end: Column) -> Column:
@@ -45,23 +36,16 @@ def micros(start: Column, end: Column) -> Column:
 
 
 def transition_matrix(
-    df: DataFrame, key: list[str], order: list[str], value: Column, unit_us: int, chunk: Column | None,
-    changes_chunk: Column | None,
+    df: DataFrame, key: list[str], order: list[str], value: Column, unit_us: int, chunk: Column | ByCount | None
 ) -> DataFrame:
     """Count of each (from, to) and the median dwell in ``from``, in whole units.
 
     The median is taken from counts per dwell length, so no task gathers the raw durations.
     """
-    ordered = [F.col(c) for c in order]
-    changes = change_points(df, key, order, value, chunk).select(*key, *order, "value")
-    steps = with_measures(
-        changes, key, ordered, changes_chunk,
-        _from=lag(F.struct(F.col("value").alias("state"), F.col(order[0]).alias("since")), ordered),
-    ).where(F.col("_from").isNotNull())
+    steps = islands(df.select(*dict.fromkeys([*key, *order]), value.alias("_value")), key, order, F.col("_value"), chunk).where("next_at IS NOT NULL")
     counts = steps.groupBy(
-        F.col("_from")["state"].alias("from_state"),
-        F.col("value").alias("to_state"),
-        F.floor(micros(F.col("_from")["since"], F.col(order[0])) / unit_us).alias("dwell"),
+        F.col("value").alias("from_state"), F.col("next_value").alias("to_state"),
+        F.floor(micros(F.col(order[0]), F.col("next_at")) / unit_us).alias("dwell"),
     ).count()
     return counts.groupBy("from_state", "to_state").agg(
         F.sum("count").alias("transitions"),
@@ -134,9 +118,9 @@ def build_outcomes(
 
 def spec_in_force(
     probes: DataFrame, specs: DataFrame, key: list[str], probe_ts: str, spec_ts: str, spec_cols: list[str],
-    chunk_of,
+    chunk_of, tie: list[str] = (),
 ) -> DataFrame:
-    """Each probe with the latest spec at or before it.
+    """Each probe with the latest spec at or before it; of specs of one time the last by ``tie`` (columns of the spec).
 
     Both sides are stacked and the last spec is carried forward along the time, which reads
     each side once and never pairs a probe with more than one spec.
@@ -150,7 +134,7 @@ def spec_in_force(
         *key, F.col(spec_ts).alias("_at"), F.lit(0).alias("_side"), spec_type.alias("_spec")
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    order = [F.col("_at"), F.col("_side")]
+    order = [F.col("_at"), F.col("_side"), *[F.col("_spec")[c] for c in tie]]
     seen = with_measures(
         both, key, order, None if chunk_of is None else chunk_of(F.col("_at")),
         _in_force=last_known(F.col("_spec"), order),

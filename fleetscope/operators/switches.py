@@ -2,8 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .chunked import lag, lead, with_measures
-from .history import change_points, micros, state_intervals
+from .chunked import CHUNK, ByCount, islands, lag, with_measures, with_previous
+from .history import micros, state_intervals
 
 STORAGE_THRESHOLD = 95
 
@@ -32,7 +32,7 @@ def sync_signal(synced: Column, expected: Column) -> Column:
 
 def availability_switch(
     df: DataFrame, key: list[str], order: list[str], synced: Column, expected: Column, timeout_s: int,
-    chunk: Column | None, islands_chunk: Column | None, as_of: Column | None = None,
+    chunk: Column | ByCount | None, as_of: Column | None = None,
 ) -> DataFrame:
     """Availability mode: one row whenever it changes. It starts off.
 
@@ -42,10 +42,8 @@ def availability_switch(
     island lasts up to ``as_of``, by default the last poll of all keys.
     """
     ts = order[0]
-    rows = df.select(*key, *order, sync_signal(synced, expected).alias("signal"))
-    ordered = [F.col(c) for c in order]
-    islands = change_points(rows, key, order, F.col("signal"), chunk).select(*key, *order, F.col("value").alias("signal"))
-    ended = with_measures(islands, key, ordered, islands_chunk, _end=lead(F.col(ts), ordered))
+    rows = df.select(*key, *order, sync_signal(synced, expected).alias("_signal"))
+    ended = islands(rows, key, order, F.col("_signal"), chunk, with_chunk=True).withColumnsRenamed({"value": "signal", "next_at": "_end"})
     now = rows.agg(F.max(ts)).scalar() if as_of is None else as_of
     deadline = F.col(ts) + F.expr(f"INTERVAL '{int(timeout_s)}' SECOND")
     timed = ended.withColumn("_due", deadline)
@@ -55,13 +53,11 @@ def availability_switch(
         .when(F.col("signal") == "lone", True)
         .when((F.col("signal") == "short") & held, True)
     )
+    # a deadline lies before the next island, so wishes are in the order of their islands
     wishes = timed.select(
-        *key, *order, F.when(F.col("signal") == "short", F.col("_due")).otherwise(F.col(ts)).alias("switched_at"), wish.alias("on")
+        *key, *order, CHUNK, F.when(F.col("signal") == "short", F.col("_due")).otherwise(F.col(ts)).alias("switched_at"), wish.alias("on")
     ).where("on IS NOT NULL")
-    at = [F.col("switched_at"), *ordered]
-    seen = with_measures(
-        wishes, key, at, None if islands_chunk is None else F.date_trunc("month", "switched_at"), _prev=lag(F.col("on"), at)
-    )
+    seen = with_previous(wishes, key, order, "on")
     return seen.where(F.col("on") != F.coalesce("_prev", F.lit(False))).select(
         *key, "switched_at", F.when(F.col("on"), "ON").otherwise("OFF").alias("switch")
     )
@@ -69,10 +65,10 @@ def availability_switch(
 
 def stuck_states(
     df: DataFrame, key: list[str], order: list[str], state: Column, waiting: list[str], deadline_s: int,
-    chunk: Column | None, changes_chunk: Column | None, as_of: Column | None = None,
+    chunk: Column | ByCount | None, as_of: Column | None = None,
 ) -> DataFrame:
     """Stays in a waiting state that outlast the deadline; open ones are measured up to ``as_of``, by default the last poll of all keys."""
-    spans = state_intervals(df, key, order, state, chunk, changes_chunk).where(F.col("value").isin(waiting))
+    spans = state_intervals(df, key, order, state, chunk).where(F.col("value").isin(waiting))
     now = df.agg(F.max(order[0])).scalar() if as_of is None else as_of
     end = F.coalesce("valid_to", now)
     return spans.where(micros(F.col("valid_from"), end) > deadline_s * 1000000).select(

@@ -122,7 +122,7 @@ def test_stuck(spark, events, stream, tmp_path):
     waiting = ["purchase", "signup", "error"]
     got = run(spark, jobs.stuck_stream(stream(), KEY, F.col("event_type"), waiting, 7200, delay=DELAY), tmp_path)
     want = stuck_states(
-        events, KEY, ORDER, F.col("event_type"), waiting, 7200, F.date_trunc("day", "ts"), F.date_trunc("month", "ts"))
+        events, KEY, ORDER, F.col("event_type"), waiting, 7200, F.date_trunc("day", "ts"))
     same(got.withColumnRenamed("value", "state"), want, ["user_id", "state", "valid_from", "timeout_at"])
 
 
@@ -130,7 +130,7 @@ def test_availability(spark, events, stream, tmp_path):
     synced, expected = (F.col("seq") % 4).cast("int"), (F.col("user_id") % 3).cast("int")
     got = run(spark, jobs.availability_stream(stream(), KEY, synced, expected, 3600, delay=DELAY), tmp_path)
     want = availability_switch(
-        events, KEY, ORDER, synced, expected, 3600, F.date_trunc("day", "ts"), F.date_trunc("month", "ts"))
+        events, KEY, ORDER, synced, expected, 3600, F.date_trunc("day", "ts"))
     last = events.agg(F.max("ts").alias("m")).first()["m"]
     # a key still short at the closing row reaches its deadline only after the data ends
     same(got.where(F.col("switched_at") <= last), want, ["user_id", "switched_at", "switch"])
