@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.chunked import CHUNK, running_sum, with_measures
+from .log_files import LogFiles
 
 # fixed values: where each kind of log lives below the archive folder, and how an omlog record starts
 PATHS = {
@@ -32,11 +33,17 @@ def tag_lines(df: DataFrame, path: str, archive: str = ARCHIVE) -> DataFrame:
     }).where("tag IS NOT NULL")
 
 
-def read_logs(spark: SparkSession, root: str, stream: bool = True, archive: str = ARCHIVE) -> DataFrame:
-    """Tagged lines of all log files below ``root``."""
-    reader = spark.readStream if stream else spark.read
-    lines = reader.format("text").option("recursiveFileLookup", "true").load(root)
-    return tag_lines(lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), "file", archive)
+def read_logs(spark: SparkSession, root: str, stream: bool = True, archive: str = ARCHIVE, **options) -> DataFrame:
+    """Tagged lines of all log files below ``root``: file, seq (the line's place), ts, text, tag, cluster, pod_ip."""
+    spark.dataSource.register(LogFiles)
+    reader = (spark.readStream if stream else spark.read).format(LogFiles.name()).options(**options)
+    lines = reader.load(root)
+    return tag_lines(lines.withColumnRenamed("offset", "seq"), "file", archive)
+
+
+def record_time(text: Column) -> Column:
+    """The time an omlog record starts with, or NULL."""
+    return F.regexp_extract(text, RECORD_START, 0).substr(2, 19).try_cast("timestamp")
 
 
 def assemble_multiline(
