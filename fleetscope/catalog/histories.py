@@ -77,12 +77,16 @@ def _(fx):
 
 
 @query("spec_in_force", """
-WITH s AS (SELECT cluster_id, ts AS spec_ts, state AS spec_state, event_id AS spec_id FROM fx_state WHERE event_id % 5 = 0)
+WITH c AS (
+  SELECT cluster_id, ts AS spec_ts, state AS spec_state, event_id AS spec_id FROM fx_state
+  QUALIFY state IS DISTINCT FROM lag(state) OVER (PARTITION BY cluster_id ORDER BY ts, event_id)
+), s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY cluster_id, spec_ts ORDER BY spec_id DESC) = 1)
 SELECT p.instance_id, p.ts, p.event_id, s.spec_ts, s.spec_state, s.spec_id
 FROM fx_check p ASOF LEFT JOIN s ON p.instance_id = s.cluster_id AND p.ts >= s.spec_ts
 """)
 def _(fx):
-    specs = fx("fx_state").where("event_id % 5 = 0").select(
+    # every change of the state is a spec
+    specs = change_points(fx("fx_state"), ["cluster_id"], EVENT_ORDER, F.col("state"), by_minute("ts")).select(
         F.col("cluster_id").alias("instance_id"), F.col("ts").alias("spec_ts"), F.col("state").alias("spec_state"),
         F.col("event_id").alias("spec_id"))
     return spec_in_force(
@@ -91,7 +95,7 @@ def _(fx):
 
 
 @query("sync_by_priority", """
-SELECT cluster_id, slot, priority, state, row_number() OVER (PARTITION BY cluster_id ORDER BY priority, slot) AS position
+SELECT cluster_id, slot, priority, state, row_number() OVER (PARTITION BY cluster_id ORDER BY priority NULLS FIRST, slot) AS position
 FROM ox_sync
 """)
 def _(fx):

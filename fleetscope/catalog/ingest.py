@@ -54,9 +54,9 @@ def _(fx):
 
 
 @query("sync_state_extract", """
-SELECT cluster_id, slot, k1, k2, k3, k4, ip, CAST(percent AS INT) AS percent, state, priority FROM fx_ha_report WHERE from_primary
+SELECT cluster_id, slot, k1, k2, k3, k4, ip, CAST(percent AS INT) AS percent, state, priority FROM fx_ha_report WHERE from_primary AND state IS NOT NULL
 UNION ALL
-SELECT cluster_id, slot, k1, k2, k3, k4, '10.9.9.9', 0, 'Async', 0 FROM fx_ha_report WHERE from_primary AND k2 % 5 = 0
+SELECT cluster_id, slot, k1, k2, k3, k4, '10.9.9.9', 0, 'Async', 0 FROM fx_ha_report WHERE from_primary AND state IS NOT NULL AND k2 % 5 = 0
 """)
 def _(fx):
     reports = fx("fx_ha_report").where("from_primary")

@@ -77,15 +77,16 @@ FROM fx_probe
 
 view("fx_sync", """
 SELECT cluster_id, slot, ip, probe_ts,
-       CASE WHEN k2 % 3 = 0 THEN 'Potential' WHEN k2 % 3 = 1 THEN 'Sync' ELSE 'Async' END AS state,
-       CAST(k2 % 2 + 1 AS INT) AS priority, usage_pct AS percent, k1, k2, k3, k4
-FROM fx_probe WHERE f_standby = 1 AND k1 % 4 <> 0
+       CASE WHEN k1 % 4 = 0 THEN NULL WHEN k2 % 3 = 0 THEN 'Potential' WHEN k2 % 3 = 1 THEN 'Sync' ELSE 'Async' END AS state,
+       CASE WHEN k1 % 4 = 0 THEN NULL ELSE CAST(k2 % 2 + 1 AS INT) END AS priority,
+       CASE WHEN k1 % 4 = 0 THEN NULL ELSE usage_pct END AS percent, k1, k2, k3, k4
+FROM fx_probe WHERE f_standby = 1
 """)
 
 view("fx_ha_report", """
 SELECT cluster_id, slot, k1, k2, CAST(k3 AS INT) AS k3, CAST(round(k4 * 100) AS BIGINT) AS k4,
        ip, percent, state, priority, k1 % 7 > 0 AS from_primary,
-       concat(' HA state:', chr(10), '   local_role : Primary', chr(10), ' Senders info:', chr(10),
+       CASE WHEN state IS NOT NULL THEN concat(' HA state:', chr(10), '   local_role : Primary', chr(10), ' Senders info:', chr(10),
               '   sender_pid                     : ', CAST(k1 AS STRING), chr(10),
               '   sync_percent                   : ', CAST(percent AS STRING), '%', chr(10),
               '   sync_state                     : ', state, chr(10),
@@ -94,7 +95,7 @@ SELECT cluster_id, slot, k1, k2, CAST(k3 AS INT) AS k3, CAST(round(k4 * 100) AS
               CASE WHEN k2 % 5 = 0 THEN concat(
               '   sender_pid : 7', chr(10), '   sync_state : Async', chr(10),
               '   sync_priority : 0', chr(10), '   channel : 10.0.0.1:5434-->10.9.9.9:44514', chr(10)) ELSE '' END,
-              ' Receiver info:', chr(10), 'No information', chr(10)) AS report_text
+              ' Receiver info:', chr(10), 'No information', chr(10)) END AS report_text
 FROM fx_sync
 """)
 
@@ -336,7 +337,7 @@ SELECT *, CASE WHEN k1 % 53 = 0 THEN NULL WHEN k1 % 41 = 0 THEN 0 WHEN k1 % 43 =
 FROM ox_latest
 """)
 view("ox_flags", """
-SELECT cluster_id, bool_or(true) AS has_states, bool_or(state = 'Sync') AS has_sync FROM ox_sync GROUP BY cluster_id
+SELECT cluster_id, bool_or(state IS NOT NULL) AS has_states, coalesce(bool_or(state = 'Sync'), false) AS has_sync FROM ox_sync GROUP BY cluster_id
 """)
 view("ox_cand", """
 SELECT p.*, s.state AS sync_state, s.priority, c.local_role, c.recorded_primary, c.is_new, c.role_changed, c.want_slots,

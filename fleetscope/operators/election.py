@@ -6,13 +6,14 @@ the lowest address; then the earlier one. A single candidate always wins. Among
 at position zero never wins unless it is the preferred one, and one whose position could not
 be asked for is left out.
 
-Every choice is a set of conditional ``min(struct)`` aggregates in one groupBy, so candidates
-are reduced on the map side and a cluster of any size costs one row per task in the shuffle.
+Every choice is a set of conditional ``min(struct)`` aggregates in one grouping, so candidates
+are reduced on the map side in hash maps and a cluster of any size costs one row per task in the shuffle.
 
-Facts of an instance (replication state, being the recorded primary) are joined on key and ip,
-which spreads the instances of one very large cluster over all tasks. Facts of a cluster (its
-role) are joined only after the reduction, one row per cluster; where they decide who may win,
-both elections are tallied and one is picked.
+Facts of an instance (replication state, being the recorded primary) are stacked with the instances and
+grouped on key and ip, which reads each history once and spreads the instances of one very large cluster
+over all tasks. What a cluster's replication states say of all its members comes out of the same election
+grouping. Facts of a cluster (its role) are joined only after the reduction, one row per cluster; where
+they decide who may win, both elections are tallied and one is picked.
 
 Candidate rows: key columns, ``ip``, ``pos`` (observed order), ``lsn`` (struct or NULL).
 """
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.net import octets
 from ..functions.wal import is_zero
+from .hashing import group_hashed
 
 
 def votes(name: str, eligible: Column, preferred: Column = None) -> list[Column]:
@@ -54,12 +56,32 @@ def winner(name: str, has_priorities: Column) -> Column:
 
 
 def with_facts(instances: DataFrame, sync: DataFrame, clusters: DataFrame | None, key: list[str]) -> DataFrame:
-    """Attach ``sync_state`` and ``priority`` (``sync`` has one row per key and ip) and ``is_recorded``."""
-    known = sync.select(*key, "ip", F.col("state").alias("sync_state"), "priority")
-    rows = instances.join(known, [*key, "ip"], "left")
-    if clusters is None:
-        return rows
-    return mark_recorded(rows, clusters, key)
+    """Instances with ``seen``, ``sync_state`` and ``priority`` (``sync`` has one row per key and ip), and ``is_recorded``.
+
+    A replication state without an instance keeps a row of its own, ``seen`` false and every instance column NULL: it
+    is no candidate, but it counts among the states of its cluster. ``clusters`` adds ``is_recorded``.
+    """
+    rest = [c for c in instances.columns if c not in (*key, "ip")]
+    blank = F.coalesce(F.col("ip"), F.lit("")) == ""
+    # instances without an address have no facts; the position keeps them from meeting in one group
+    stacked = instances.select(*key, "ip", F.when(blank, F.col("pos")).otherwise(0).alias("_p"), F.struct(*rest).alias("_i"))
+    known = sync.where(~blank).select(*key, "ip", F.lit(0).alias("_p"), F.struct("state", "priority").alias("_s"))
+    stacked = stacked.unionByName(known, allowMissingColumns=True)
+    if clusters is not None:
+        recorded = clusters.select(*key, F.col("recorded_primary").alias("ip"), F.lit(0).alias("_p"), F.lit(True).alias("_r")).where(~blank)
+        stacked = stacked.unionByName(recorded, allowMissingColumns=True)
+    else:
+        stacked = stacked.withColumn("_r", F.lit(None).cast("boolean"))
+    met = group_hashed(
+        stacked, [*key, "ip", "_p"], F.collect_list("_i").alias("_all"), F.first("_s", ignorenulls=True).alias("_s"), F.max("_r").alias("_r")
+    ).where(F.col("_s").isNotNull() | (F.size("_all") > 0))
+    rows = met.select(*key, "ip", "_s", "_r", F.explode_outer("_all").alias("_i"))
+    seen = F.col("_i").isNotNull()
+    recorded = [] if clusters is None else [(seen & F.coalesce("_r", F.lit(False))).alias("is_recorded")]
+    return rows.select(
+        *key, "ip", *[F.col("_i")[c].alias(c) for c in rest], seen.alias("seen"),
+        F.col("_s")["state"].alias("sync_state"), F.col("_s")["priority"].alias("priority"), *recorded,
+    )
 
 
 def mark_recorded(instances: DataFrame, clusters: DataFrame, key: list[str]) -> DataFrame:
@@ -68,11 +90,9 @@ def mark_recorded(instances: DataFrame, clusters: DataFrame, key: list[str]) ->
     return instances.join(recorded, [*key, "ip"], "left").withColumn("is_recorded", F.coalesce("is_recorded", F.lit(False)))
 
 
-def priority_flags(sync: DataFrame, key: list[str]) -> DataFrame:
-    """Clusters with recorded replication states, and with one in state Sync."""
-    return sync.groupBy(*key).agg(
-        F.lit(True).alias("has_states"), F.max(F.col("state") == "Sync").alias("has_sync")
-    )
+def state_flags() -> list[Column]:
+    """Whether a cluster has recorded replication states, and one in state Sync."""
+    return [F.max(F.col("sync_state").isNotNull()).alias("has_states"), F.max(_synced()).alias("has_sync")]
 
 
 def _flag(name: str) -> Column:
@@ -85,10 +105,9 @@ def _synced() -> Column:
 
 def elect_by_lsn(candidates: DataFrame, sync: DataFrame, key: list[str], preferred: Column = None) -> DataFrame:
     """Winner per cluster; clusters whose candidates all fail the rules report ``no_candidate``."""
-    tallies = with_facts(candidates, sync, None, key).groupBy(*key).agg(*votes("all", F.lit(True), preferred))
-    chosen = tallies.join(priority_flags(sync, key), key, "left").withColumn(
-        "winner", winner("all", _flag("has_states"))
-    )
+    rows = with_facts(candidates, sync, None, key)
+    tallies = group_hashed(rows, key, *votes("all", F.col("seen"), preferred), *state_flags()).where("all_n > 0")
+    chosen = tallies.withColumn("winner", winner("all", _flag("has_states")))
     return chosen.select(
         *key, F.col("all_n").alias("candidates"), "winner",
         F.when(F.col("winner").isNull(), "no_candidate").otherwise("elected").alias("outcome"),
@@ -106,16 +125,14 @@ def failover_choice(clusters: DataFrame, instances: DataFrame, sync: DataFrame,
     # only entries in state Sync lend a priority here
     rows = rows.withColumn("priority", F.when(_synced(), F.col("priority")))
     standby = ~F.col("is_recorded") & (F.col("is_standby") | F.col("startable"))
-    tallies = rows.groupBy(*key).agg(
-        F.max("is_primary").alias("has_primary"),
+    tallies = group_hashed(
+        rows, key, F.max("is_primary").alias("has_primary"),
         F.max(F.col("is_recorded") & F.col("has_repl_config")).alias("recorded_usable"),
-        F.min(F.struct("pos", "ip")).alias("first_seen"),
-        *votes("standby", standby),
-        *votes("synced", standby & _synced()),
+        F.min(F.when(F.col("seen"), F.struct("pos", "ip"))).alias("first_seen"),
+        *votes("standby", standby), *votes("synced", standby & _synced()), *state_flags(),
     )
     roles = clusters.where("local_role = 'primary'").select(*key, "recorded_primary", "is_new", "role_changed")
     chosen = roles.join(tallies, key, "left").where(~F.coalesce("has_primary", F.lit(False)))
-    chosen = chosen.join(priority_flags(sync, key), key, "left")
     by_sync = _flag("has_sync") & ~F.col("is_new")
     policy = (
         F.when(F.col("recorded_usable"), "restart_recorded")
@@ -141,12 +158,11 @@ def resolve_multi_primary(clusters: DataFrame, primaries: DataFrame, sync: DataF
 
     clusters: key, ``local_role``, ``recorded_primary``; primaries: candidate rows in primary role
     """
-    tallies = with_facts(primaries, sync, clusters, key).groupBy(*key).agg(
-        F.max("is_recorded").alias("recorded_seen"), *votes("all", F.lit(True))
-    )
+    tallies = group_hashed(
+        with_facts(primaries, sync, clusters, key), key, F.max("is_recorded").alias("recorded_seen"), *votes("all", F.col("seen")), *state_flags()
+    ).where("all_n > 0")
     roles = clusters.select(*key, "local_role", "recorded_primary")
     chosen = tallies.join(roles, key).where((F.col("all_n") > 1) | (F.col("local_role") == "standby"))
-    chosen = chosen.join(priority_flags(sync, key), key, "left")
     keep = F.when(
         F.col("local_role") == "primary",
         F.when(F.col("recorded_seen"), F.col("recorded_primary")).otherwise(winner("all", _flag("has_states"))),
@@ -169,12 +185,12 @@ def rebuild_source(clusters: DataFrame, instances: DataFrame, sync: DataFrame, k
     rows = with_facts(instances, sync, clusters, key)
     wanted = ~F.col("is_recorded") & F.col("is_new_volume")
     source = ~F.col("is_recorded") & ~F.col("is_new_volume") & F.col("is_standby") & F.col("is_normal")
-    tallies = rows.groupBy(*key).agg(
-        *votes("any", source), *votes("synced", source & _synced()),
-        F.max(wanted).alias("wanted"), F.count("*").alias("seen"),
+    tallies = group_hashed(
+        rows, key, *votes("any", source), *votes("synced", source & _synced()), *state_flags(),
+        F.max(wanted).alias("wanted"), F.count_if("seen").alias("instances"),
     ).where("wanted")
     chosen = tallies.join(clusters.select(*key, "local_role", "recorded_primary"), key)
-    chosen = chosen.where("local_role = 'standby' OR seen > 1").join(priority_flags(sync, key), key, "left")
+    chosen = chosen.where("local_role = 'standby' OR instances > 1")
     elected = F.when(F.col("local_role") == "standby", winner("any", _flag("has_states"))).otherwise(
         winner("synced", _flag("has_states"))
     )
@@ -192,14 +208,13 @@ def scale_in_plan(clusters: DataFrame, members: DataFrame, instances: DataFrame,
     members: key, ``ip``; instances: candidate columns, ``is_desired`` (address is in the member list)
     """
     desired = F.col("is_desired")
-    tallies = with_facts(instances, sync, clusters, key).groupBy(*key).agg(
-        *votes("next", desired & (_synced() | F.col("is_recorded"))),
-        F.count_if(~desired).alias("removals"),
+    tallies = group_hashed(
+        with_facts(instances, sync, clusters, key), key, *votes("next", desired & (_synced() | F.col("is_recorded"))),
+        F.count_if(~desired).alias("removals"), *state_flags(),
     ).where("removals > 0")
     listed = members.select(*key, F.col("ip").alias("recorded_primary"), F.lit(True).alias("primary_wanted")).distinct()
     recorded = clusters.select(*key, "local_role", "recorded_primary").join(listed, [*key, "recorded_primary"], "left")
     chosen = tallies.join(recorded, key)
-    chosen = chosen.join(priority_flags(sync, key), key, "left")
     switch = (F.col("local_role") == "primary") & ~_flag("primary_wanted")
     elected = winner("next", _flag("has_states"))
     return chosen.select(
@@ -218,12 +233,12 @@ def upgrade_plan(clusters: DataFrame, instances: DataFrame, sync: DataFrame, key
     """
     rows = with_facts(instances, sync, clusters, key)
     outdated_primary = ~F.col("matches_spec") & F.col("is_primary") & ~F.col("is_standby")
-    tallies = rows.groupBy(*key).agg(
-        F.max(F.when(outdated_primary, F.struct("pos", "ip"))).alias("last"),
-        *votes("any", ~outdated_primary),
-        *votes("synced", ~outdated_primary & (_synced() | F.col("is_recorded"))),
+    tallies = group_hashed(
+        rows, key, F.max(F.when(outdated_primary, F.struct("pos", "ip"))).alias("last"),
+        *votes("any", F.col("seen") & ~outdated_primary),
+        *votes("synced", F.col("seen") & ~outdated_primary & (_synced() | F.col("is_recorded"))), *state_flags(),
     ).where("last IS NOT NULL")
-    chosen = tallies.join(clusters.select(*key, "local_role"), key).join(priority_flags(sync, key), key, "left")
+    chosen = tallies.join(clusters.select(*key, "local_role"), key)
     standby = F.col("local_role") == "standby"
     elected = F.when(standby, winner("any", _flag("has_states"))).otherwise(winner("synced", _flag("has_states")))
     count = F.when(standby, F.col("any_n")).otherwise(F.col("synced_n"))

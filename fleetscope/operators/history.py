@@ -2,17 +2,18 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .hashing import group_hashed
 from .chunked import ByCount, islands, last_known, run_lengths, running_sum, with_measures
 
 
 def latest_snapshot(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Last row per key by ``order`` alone; the other columns may be of any type, maps included.
 
-    It combines on the map side, so a hot key sends one row per task. Rows of equal order are one state:
-    any of them is taken.
+    It combines on the map side in hash maps, so a hot key sends one row per task and nothing is sorted. Rows of equal
+    order are one state: any of them is taken.
     """
     rest = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    best = group_hashed(df, key, F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in df.columns])
 
 

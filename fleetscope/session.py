@@ -9,6 +9,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot cluster in a join even when the plan above it would like to keep the partitioning
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # extremes of structs stay in hash maps up to so many keys a task (see operators/hashing.py)
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

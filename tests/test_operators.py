@@ -262,3 +262,11 @@ def test_log_files(spark, tmp_path):
 def test_fleet_snapshot(spark, tmp_path):
     spark.sql("SELECT 'n' AS namespace, 'Secret' AS kind, 'a' AS artifact").write.parquet(str(tmp_path / "a"))
     assert read_fleet(spark, str(tmp_path / "a"), "artifact").collect()[0]["artifact"] == "a"
+
+
+@pytest.mark.parametrize("name", ["latest_snapshot", "elect_by_lsn", "failover_choice", "resolve_multi_primary", "rebuild_source", "scale_in_plan", "upgrade_plan"])
+def test_latest_rows_and_elections_are_grouped_in_hash_maps(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
