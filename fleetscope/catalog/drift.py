@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.capacity import capacity_drift
 from ..operators.drift import (
-    complete_instances, env_drift, extend_ip_drift, instance_spec_drift, label_role_mismatch, member_except,
+    bandwidth_annotations, complete_instances, env_drift, extend_ip_drift, extend_ip_rollup, instance_spec_drift, label_role_mismatch, member_except,
     member_intersect, member_union, membership_drift, missing_artifacts, mount_failures, mount_wait_exemption,
     restart_required, service_drift, sync_standbys,
 )
@@ -139,13 +139,28 @@ WITH j AS (
     CASE WHEN readiness_period <> want_readiness_period THEN 'readiness_period' END,
     CASE WHEN sidecar_image <> CASE WHEN want_sidecar_image = '' THEN want_image ELSE want_sidecar_image END THEN 'sidecar_image' END,
     CASE WHEN network_class <> 'kube-ovn' AND (bandwidth IS NULL) <> (want_bandwidth = '') THEN 'bandwidth' END,
-    CASE WHEN config_names IS NULL THEN 'config' END) AS reasons FROM j
+    CASE WHEN mode <> want_mode THEN 'env' END,
+    CASE WHEN sidecar_var <> 'CR_NAME' THEN 'sidecar_env' END,
+    CASE WHEN network_class = 'kube-ovn' AND extend_ip <> '' AND (want_networks IS NULL OR note IS NULL OR note <> extend_ip) THEN 'extend_ip' END,
+    CASE WHEN config IS NULL OR config <> want_config OR script_config <> 'script' THEN 'config' END) AS reasons FROM j
 )
 SELECT cluster_id, concat(instance_id, '/', slot, '/', q, '/', k2) AS ip, reasons FROM r WHERE reasons <> ''
 """)
 def _(fx):
-    instances = fx("fx_inst").withColumn("ip", F.concat_ws("/", "instance_id", "slot", "q", "k2"))
-    return instance_spec_drift(fx("fx_inst_spec"), instances.drop("instance_id", "slot", "q", "k2"), KEY)
+    none = F.create_map().cast("map<string,string>")
+    instances = fx("fx_inst").withColumns({
+        "ip": F.concat_ws("/", "instance_id", "slot", "q", "k2"),
+        "container_env": F.create_map(F.lit("MODE"), F.col("mode")), "sidecar_env": F.create_map(F.col("sidecar_var"), F.lit("x")),
+        "annotations": F.when(F.col("note").isNotNull(), F.create_map(F.lit("net1.ns1.ovn.kubernetes.io/ip_address"), F.col("note"))).otherwise(none),
+        "configs": F.map_filter(
+            F.create_map(F.lit("cluster"), F.col("config"), F.lit("script"), F.col("script_config"), F.lit("log"), F.lit("log")), lambda _k, v: v.isNotNull()),
+    })
+    wanted = fx("fx_inst_spec").withColumns({
+        "want_env": F.create_map(F.lit("og_MODE"), F.col("want_mode")),
+        "spec_annotations": F.when(F.col("want_networks").isNotNull(), F.create_map(F.lit("k8s.v1.cni.cncf.io/networks"), F.col("want_networks"))).otherwise(none),
+        "want_configs": F.create_map(F.lit("cluster"), F.col("want_config"), F.lit("script"), F.lit("script"), F.lit("log"), F.lit("log")),
+    })
+    return instance_spec_drift(wanted, instances.drop("instance_id", "slot", "q", "k2"), KEY)
 
 
 @query("env_drift", """
@@ -184,13 +199,39 @@ FROM j
 WHERE networks IS NULL OR (networks LIKE '[{%' AND (note_key <> 'net1.ns1.ovn.kubernetes.io/ip_address' OR note_value <> extend_ip))
 """)
 def _(fx):
+    return extend_ip_drift(*extend_ip_inputs(fx), KEY)
+
+
+def extend_ip_inputs(fx):
     ext = fx("fx_ext")
     instances = ext.select("cluster_id", "ip", F.create_map("note_key", "note_value").alias("annotations"))
     networks = F.create_map(F.lit("k8s.v1.cni.cncf.io/networks"), F.col("networks"))
     clusters = fx("fx_net").select(
         "cluster_id", "network_class",
         F.when(F.col("networks").isNotNull(), networks).otherwise(F.create_map().cast("map<string,string>")).alias("spec_annotations"))
-    return extend_ip_drift(ext.select("cluster_id", "ip", "extend_ip"), instances, clusters, KEY)
+    return ext.select("cluster_id", "ip", "extend_ip"), instances, clusters
+
+
+@query("extend_ip_rollup", """
+SELECT e.cluster_id, count(*) AS checked, count(d.reason) AS faulty, count(*) FILTER (WHERE d.reason = 'no_network_annotation') AS no_network_annotation,
+       count(*) FILTER (WHERE d.reason = 'no_address_annotation') AS no_address_annotation, count(*) FILTER (WHERE d.reason = 'other_address') AS other_address
+FROM fx_ext e JOIN fx_net n USING (cluster_id) LEFT JOIN q_extend_ip_drift d ON d.cluster_id = e.cluster_id AND d.ip = e.ip
+WHERE n.network_class = 'kube-ovn' AND e.extend_ip <> '' GROUP BY 1
+""")
+def _(fx):
+    return extend_ip_rollup(*extend_ip_inputs(fx), KEY)
+
+
+@query("bandwidth_annotations", """
+WITH w AS (SELECT * FROM fx_bandwidth WHERE coalesce(bandwidth, '') <> '')
+SELECT cluster_id, a AS annotation, CASE WHEN network_class <> 'kube-ovn' THEN bandwidth
+       WHEN cluster_id % 5 = 1 THEN CAST(size + 1 AS VARCHAR) WHEN cluster_id % 5 = 2 THEN CAST(size * 1000 AS VARCHAR)
+       ELSE CAST(CAST(ceil(CAST(concat('0.', size) AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR) END AS value
+FROM (SELECT *, unnest(CASE WHEN network_class = 'kube-ovn' THEN ['ovn.kubernetes.io/ingress_rate', 'ovn.kubernetes.io/egress_rate']
+      ELSE ['kubernetes.io/ingress-bandwidth', 'kubernetes.io/egress-bandwidth'] END) AS a FROM w) u
+""")
+def _(fx):
+    return bandwidth_annotations(fx("fx_bandwidth"), KEY)
 
 
 @query("restart_required", """

@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..operators.health import (
-    all_members_ready, cluster_health, distinct_members, event_rollup, instance_condition, node_states,
+    all_members_ready, cluster_health, distinct_members, event_levels, event_rollup, fleet_members, instance_condition, node_states,
     primary_cardinality, replica_sync_gap,
 )
 from ..operators.predicates import state_summary
 from .common import KEY, SUMMARY, probes, sync
-from .drift import named_clusters
+from ..operators.drift import extend_ip_rollup
+from .drift import extend_ip_inputs, named_clusters
 from .registry import query, view
 
 view("ox_inst", """
@@ -33,27 +34,28 @@ WITH m AS (
     min(ip) FILTER (WHERE up AND f_primary = 1) AS pip
   FROM ox_inst GROUP BY 1
 ), a AS (SELECT cluster_id, count(*) AS artifacts_missing FROM q_missing_artifacts GROUP BY 1),
+x AS (SELECT cluster_id, count(*) AS extend_ip_wrong FROM q_extend_ip_drift GROUP BY 1),
 f AS (
   SELECT c.cluster_id, c.local_role, c.recorded_primary, coalesce(members_missing, 0) AS members_missing,
          coalesce(members_beyond, 0) AS members_beyond, coalesce(not_ready, 0) AS not_ready,
          coalesce(in_maintenance, 0) AS in_maintenance, coalesce(mislabelled, 0) AS mislabelled,
          coalesce(state_changed, 0) AS state_changed, coalesce(primaries, 0) AS primaries,
-         coalesce(artifacts_missing, 0) AS artifacts_missing, pip
-  FROM fx_cluster c LEFT JOIN m USING (cluster_id) LEFT JOIN i USING (cluster_id) LEFT JOIN a USING (cluster_id)
+         coalesce(artifacts_missing, 0) AS artifacts_missing, coalesce(extend_ip_wrong, 0) AS extend_ip_wrong, pip
+  FROM fx_cluster c LEFT JOIN m USING (cluster_id) LEFT JOIN i USING (cluster_id) LEFT JOIN a USING (cluster_id) LEFT JOIN x USING (cluster_id)
 ), g AS (
   SELECT *, members_missing + members_beyond > 0 AS drift,
     CASE WHEN local_role = 'primary' THEN NOT coalesce(primaries = 1 AND pip = recorded_primary
            AND EXISTS (SELECT 1 FROM fx_member x WHERE x.cluster_id = f.cluster_id AND x.ip = f.pip), false)
          ELSE primaries > 0 END AS bad_primary FROM f
 )
-SELECT cluster_id, members_missing, members_beyond, not_ready, in_maintenance, mislabelled, state_changed, primaries, artifacts_missing,
-  in_maintenance > 0 OR drift OR bad_primary OR not_ready > 0 OR artifacts_missing > 0 AS needs_reconcile,
+SELECT cluster_id, members_missing, members_beyond, not_ready, in_maintenance, mislabelled, state_changed, primaries, artifacts_missing, extend_ip_wrong,
+  in_maintenance > 0 OR drift OR bad_primary OR not_ready > 0 OR artifacts_missing > 0 OR extend_ip_wrong > 0 AS needs_reconcile,
   NOT drift AND artifacts_missing = 0 AS resource_ready,
   NOT (in_maintenance > 0 OR drift OR bad_primary OR not_ready > 0) AS instances_ready,
   NOT bad_primary AND artifacts_missing = 0 AS service_ready,
   concat_ws(',', CASE WHEN in_maintenance > 0 THEN 'maintenance' END, CASE WHEN drift THEN 'members' END,
     CASE WHEN bad_primary THEN 'primary' END, CASE WHEN not_ready > 0 THEN 'not_ready' END,
-    CASE WHEN artifacts_missing > 0 THEN 'artifacts' END) AS causes
+    CASE WHEN artifacts_missing > 0 THEN 'artifacts' END, CASE WHEN extend_ip_wrong > 0 THEN 'extend_ip' END) AS causes
 FROM g
 """)
 def _(fx):
@@ -64,7 +66,7 @@ def health_of(fx):
     latest = probes(fx, "ip", "phase", "port_open", "role_tag", "hang", *SUMMARY)
     recorded = F.when(F.col("k2") % 2 == 0, state_summary()).otherwise("older")
     instances = latest.select("cluster_id", "ip", *instance_condition(F.col("role_tag"), recorded, state_summary()))
-    return cluster_health(named_clusters(fx), fx("fx_member"), instances, fx("fx_artifact"), KEY)
+    return cluster_health(named_clusters(fx), fx("fx_member"), instances, fx("fx_artifact"), KEY, extend_ip_rollup(*extend_ip_inputs(fx), KEY))
 
 
 @query("primary_cardinality", """
@@ -101,6 +103,29 @@ def _(fx):
     return distinct_members(listed, KEY, "ip")
 
 
+@query("fleet_members", """
+WITH l AS (SELECT namespace_id, cluster_id, ip FROM fx_member JOIN fx_cluster USING (cluster_id))
+SELECT namespace_id, grouping(namespace_id) = 1 AS is_fleet, count(DISTINCT cluster_id) AS clusters, count(DISTINCT ip) AS members, count(*) AS entries,
+       true AS sketch_holds
+FROM l GROUP BY ROLLUP (namespace_id)
+""")
+def _(fx):
+    listed = fx("fx_member").join(fx("fx_cluster").select("cluster_id", "namespace_id"), KEY)
+    totals = fleet_members(listed, "namespace_id", KEY, "ip")
+    # three standard errors of the sketch, and one member of rounding
+    holds = F.abs(F.col("estimated") - F.col("members")) <= 1 + 0.05 * F.col("members")
+    return totals.withColumn("sketch_holds", holds).drop("estimated")
+
+
+@query("event_levels", """
+SELECT date_trunc('hour', ts) AS bucket, cluster_id, type, reason, CAST(grouping_id(date_trunc('hour', ts), cluster_id, type, reason) AS BIGINT) AS level,
+       count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen
+FROM fx_event GROUP BY ROLLUP (date_trunc('hour', ts), cluster_id, type, reason)
+""")
+def _(fx):
+    return event_levels(fx("fx_event"), "ts", "hour", ["cluster_id", "type", "reason"])
+
+
 @query("event_rollup", """
 SELECT date_trunc('hour', ts) AS bucket, cluster_id, type, reason, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen
 FROM fx_event GROUP BY ALL

@@ -251,7 +251,8 @@ SELECT p_partkey AS cluster_id, concat('db:', CAST(p_size % 3 AS STRING)) AS wan
        CAST(30 + p_partkey % 2 AS INT) AS want_readiness_period,
        CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '2G' END AS want_bandwidth,
        CASE WHEN p_partkey % 4 = 0 THEN 'kube-ovn' ELSE 'calico' END AS network_class,
-       concat('og-', CAST(p_partkey AS STRING), '-cm,script,log') AS want_config_names,
+       concat('og-', CAST(p_partkey AS STRING), '-cm') AS want_config,
+       concat('v', CAST(p_size % 2 AS STRING)) AS want_mode, CASE WHEN p_partkey % 20 = 0 THEN NULL ELSE '[{"name":"net1","namespace":"ns1"}]' END AS want_networks,
        CAST(CASE WHEN p_partkey % 31 = 0 THEN 0 ELSE 60 END AS INT) AS applied_available_timeout
 FROM part
 """)
@@ -265,10 +266,22 @@ SELECT l_partkey AS cluster_id, l_orderkey AS instance_id, l_linenumber AS slot,
        CASE WHEN l_suppkey % 3 = 0 THEN '0.5' ELSE '500m' END AS sidecar_cpu, '1Gi' AS sidecar_memory,
        CAST(30 + l_suppkey % 2 AS INT) AS readiness_period,
        CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE '2G' END AS bandwidth,
-       CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE concat('og-', CAST(l_partkey AS STRING), '-cm,script,log') END AS config_names
+       CASE WHEN l_suppkey % 13 = 0 THEN NULL WHEN l_suppkey % 12 = 0 THEN 'other' ELSE concat('og-', CAST(l_partkey AS STRING), '-cm') END AS config,
+       CASE WHEN l_suppkey % 14 = 0 THEN 'old' ELSE 'script' END AS script_config,
+       concat('v', CAST(l_suppkey % 2 AS STRING)) AS mode, CASE WHEN l_suppkey % 15 = 0 THEN 'DEBUG' ELSE 'CR_NAME' END AS sidecar_var,
+       CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '10.9.0.1' END AS extend_ip,
+       CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 6 = 0 THEN '10.9.0.2' ELSE '10.9.0.1' END AS note
 FROM lineitem
 """)
 
+view("fx_bandwidth", """
+SELECT p_partkey AS cluster_id, CASE WHEN p_partkey % 3 = 0 THEN 'calico' ELSE 'kube-ovn' END AS network_class, p_size AS size,
+       CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN concat(CAST(p_size AS STRING), '.4M')
+            WHEN p_partkey % 5 = 2 THEN concat(CAST(p_size AS STRING), 'G') WHEN p_partkey % 5 = 3 THEN concat('0.', CAST(p_size AS STRING), 'T')
+            ELSE '' END AS bandwidth
+FROM part
+""")
+
 view("fx_session", """
 SELECT event_id AS sessionid, user_id AS instance_id, ts AS state_change,
        CASE WHEN event_type IN ('click', 'view') THEN 'idle in transaction' ELSE 'active' END AS state

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import maps
-from ..functions.quantity import compare
+from ..functions.quantity import compare, network_rate
 from .catalogs import RESTART_PROPERTIES
 
 # fixed values: names the checks compare with
@@ -12,6 +12,9 @@ BUILT_IN_ENV = ["OG_PASSWORD", "MY_POD_IP", "CR_NAME"]
 MULTI_NETWORK = "kube-ovn"
 ATTACHED_NETWORKS = "k8s.v1.cni.cncf.io/networks"
 MOUNT_REASONS = ["failedattachvolume", "failedmount"]
+MAIN_CONTAINER, SIDECAR_CONTAINER = "og", "sidecar"
+RATE_ANNOTATIONS = ["ovn.kubernetes.io/ingress_rate", "ovn.kubernetes.io/egress_rate"]
+BANDWIDTH_ANNOTATIONS = ["kubernetes.io/ingress-bandwidth", "kubernetes.io/egress-bandwidth"]
 
 
 def both_sides(desired: DataFrame, actual: DataFrame, key: list[str], member: str) -> DataFrame:
@@ -120,6 +123,8 @@ def instance_spec_drift(clusters: DataFrame, instances: DataFrame, key: list[str
     """One row per instance that differs from the spec, with the reasons in a fixed order.
 
     clusters: key and ``want_*`` columns; instances: key, ``ip``, observed columns of the same names.
+    Besides plain columns: ``want_env`` map against ``container_env`` and ``sidecar_env``; ``extend_ip`` and ``annotations`` of
+    the instance against ``spec_annotations``; ``want_configs`` (volume: config map) against ``configs``, each wanted volume by itself.
     Quantities compare by value. The bandwidth annotation is not compared in the network class
     that keeps its rate elsewhere. A sidecar without own image uses the main one.
     """
@@ -137,7 +142,13 @@ def instance_spec_drift(clusters: DataFrame, instances: DataFrame, key: list[str
         ("sidecar_cpu", compare(F.col("sidecar_cpu"), F.col("want_sidecar_cpu")) != 0),
         ("sidecar_memory", compare(F.col("sidecar_memory"), F.col("want_sidecar_memory")) != 0),
         ("bandwidth", (F.col("network_class") != MULTI_NETWORK) & (F.coalesce(F.col("bandwidth"), F.lit("")) != bandwidth)),
-        ("config", F.coalesce(F.col("config_names") != F.col("want_config_names"), F.lit(True))),
+        ("env", _any(env_faults(F.lit(MAIN_CONTAINER), F.col("container_env"), F.col("want_env")))),
+        ("sidecar_env", _any(env_faults(F.lit(SIDECAR_CONTAINER), F.col("sidecar_env"), F.col("want_env")))),
+        ("extend_ip", (F.col("network_class") == MULTI_NETWORK) & (F.coalesce(F.col("extend_ip"), F.lit("")) != "")
+         & extend_ip_reason(F.col("extend_ip"), F.col("annotations"), F.col("spec_annotations")).isNotNull()),
+        ("config", F.coalesce(F.exists(
+            F.map_entries("want_configs"),
+            lambda w: ~F.coalesce(F.try_element_at("configs", w["key"]), F.lit("")).eqNullSafe(w["value"])), F.lit(True))),
     ]
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(n)) for n, cond in checks]))
     return instances.join(clusters, key).select(*key, "ip", F.array_join(reasons, ",").alias("reasons")).where(
@@ -145,65 +156,104 @@ def instance_spec_drift(clusters: DataFrame, instances: DataFrame, key: list[str
     )
 
 
-def env_drift(instances: DataFrame, specs: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Containers whose environment differs from the wanted one.
+def _any(conditions: dict[str, Column]) -> Column:
+    first, *rest = conditions.values()
+    for c in rest:
+        first = first | c
+    return first
+
 
-    specs: key, ``env`` map with keys ``<container>_<NAME>``; instances: key, ``keep`` columns,
-    ``container``, ``container_env`` map. A wanted key must be met by a variable whose name occurs in the key,
-    and every such variable must have the wanted value; a variable that is neither built in
-    nor wanted is drift. An absent map is an empty one. The two maps meet in one row, so nothing is paired
-    across rows.
+def env_faults(container: Column, held: Column, want: Column) -> dict[str, Column]:
+    """Missing, changed and extra variables of a container. ``want`` has keys ``<container>_<NAME>``.
+
+    A wanted key must be met by a variable whose name occurs in the key, and every such variable must have the
+    wanted value; a variable that is neither built in nor wanted is drift. An absent map is an empty one. The two
+    maps meet in one row, so nothing is paired across rows.
     """
     none = F.create_map().cast("map<string,string>")
-    container, env, want = F.col("container"), F.coalesce("container_env", none), F.coalesce("env", none)
-    wanted = F.map_entries(F.map_filter(want, lambda k, _v: F.startswith(k, container)))
-    held = F.map_entries(env)
+    env, want = F.coalesce(held, none), F.coalesce(want, none)
+    wanted, entries = F.map_entries(F.map_filter(want, lambda k, _v: F.startswith(k, container))), F.map_entries(env)
 
     def related(w):
-        return F.filter(held, lambda h: F.contains(w["key"], h["key"]))
-
-    missing = F.exists(wanted, lambda w: F.size(related(w)) == 0)
-    changed = F.exists(wanted, lambda w: F.exists(related(w), lambda h: h["value"] != w["value"]))
-    extra = F.exists(
-        F.map_keys(env),
-        lambda n: ~n.isin(BUILT_IN_ENV)
-        & ~F.array_contains(F.map_keys(want), F.concat(container, F.lit("_"), n)),
-    )
+        return F.filter(entries, lambda h: F.contains(w["key"], h["key"]))
+
+    return {
+        "missing": F.exists(wanted, lambda w: F.size(related(w)) == 0),
+        "changed": F.exists(wanted, lambda w: F.exists(related(w), lambda h: h["value"] != w["value"])),
+        "extra": F.exists(
+            F.map_keys(env), lambda n: ~n.isin(BUILT_IN_ENV) & ~F.array_contains(F.map_keys(want), F.concat(container, F.lit("_"), n))),
+    }
+
+
+def env_drift(instances: DataFrame, specs: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Containers whose environment differs from the wanted one, by ``env_faults``.
+
+    specs: key, ``env`` map; instances: key, ``keep`` columns, ``container``, ``container_env`` map.
+    """
+    faults = env_faults(F.col("container"), F.col("container_env"), F.col("env"))
     return (
         instances.join(specs, key)
-        .select(*key, *keep, "container", missing.alias("missing"), changed.alias("changed"), extra.alias("extra"))
+        .select(*key, *keep, "container", *[c.alias(n) for n, c in faults.items()])
         .where("missing OR changed OR extra")
     )
 
 
-def extend_ip_drift(members: DataFrame, instances: DataFrame, clusters: DataFrame, key: list[str]) -> DataFrame:
-    """Second addresses that the instance does not carry, for the network class that supports them.
+def extend_ip_reason(extend_ip: Column, annotations: Column, spec_annotations: Column) -> Column:
+    """Why an instance does not carry its second address, or NULL.
 
-    members: key, ``ip``, ``extend_ip``; instances: key, ``ip``, ``annotations`` map;
-    clusters: key, ``network_class``, ``annotations`` map (column ``spec_annotations``).
     The annotation key is built from the first attached network of the spec.
     """
-    networks = F.from_json(F.try_element_at("spec_annotations", F.lit(ATTACHED_NETWORKS)),
-                           "array<struct<name:string,namespace:string>>")
+    attached = F.try_element_at(spec_annotations, F.lit(ATTACHED_NETWORKS))
+    networks = F.from_json(attached, "array<struct<name:string,namespace:string>>")
     provider = F.concat(F.get(networks, F.lit(0))["name"], F.lit("."), F.get(networks, F.lit(0))["namespace"], F.lit(".ovn"))
-    address = F.try_element_at("annotations", F.concat(provider, F.lit(".kubernetes.io/ip_address")))
-    subnet = F.try_element_at("annotations", F.concat(provider, F.lit(".kubernetes.io/logical_switch")))
-    reason = (
-        F.when(F.try_element_at("spec_annotations", F.lit(ATTACHED_NETWORKS)).isNull(), "no_network_annotation")
+    address = F.try_element_at(annotations, F.concat(provider, F.lit(".kubernetes.io/ip_address")))
+    subnet = F.try_element_at(annotations, F.concat(provider, F.lit(".kubernetes.io/logical_switch")))
+    return (
+        F.when(attached.isNull(), "no_network_annotation")
         .when(provider.isNull(), None)
         .when(address.isNull() & subnet.isNull(), "no_address_annotation")
-        .when(~address.eqNullSafe(F.col("extend_ip")), "other_address")
+        .when(~address.eqNullSafe(extend_ip), "other_address")
     )
+
+
+def _extend_ip_states(members: DataFrame, instances: DataFrame, clusters: DataFrame, key: list[str]) -> DataFrame:
     scope = clusters.where(F.col("network_class") == MULTI_NETWORK).select(*key, "spec_annotations")
     return (
         members.where(F.coalesce(F.col("extend_ip"), F.lit("")) != "")
         .join(instances, [*key, "ip"])
         .join(scope, key)
-        .select(*key, "ip", reason.alias("reason"))
-        .where("reason IS NOT NULL")
+        .select(*key, "ip", extend_ip_reason(F.col("extend_ip"), F.col("annotations"), F.col("spec_annotations")).alias("reason"))
     )
 
 
+def extend_ip_drift(members: DataFrame, instances: DataFrame, clusters: DataFrame, key: list[str]) -> DataFrame:
+    """Second addresses that the instance does not carry, for the network class that supports them.
+
+    members: key, ``ip``, ``extend_ip``; instances: key, ``ip``, ``annotations`` map;
+    clusters: key, ``network_class``, ``annotations`` map (column ``spec_annotations``).
+    """
+    return _extend_ip_states(members, instances, clusters, key).where("reason IS NOT NULL")
+
+
+def extend_ip_rollup(members: DataFrame, instances: DataFrame, clusters: DataFrame, key: list[str]) -> DataFrame:
+    """Observed members with a second address per cluster, how many do not carry theirs, and the first reason by name."""
+    return _extend_ip_states(members, instances, clusters, key).groupBy(*key).agg(
+        F.count("*").alias("checked"), F.count("reason").alias("faulty"),
+        *[F.count_if(F.col("reason") == r).alias(r) for r in ("no_network_annotation", "no_address_annotation", "other_address")])
+
+
+def bandwidth_annotations(clusters: DataFrame, key: list[str]) -> DataFrame:
+    """Annotation name and value that limit an instance's traffic, in and out; clusters without a limit have none.
+
+    clusters: key, ``network_class``, ``bandwidth``. One class takes whole megabits, the others the text with its unit.
+    """
+    own = F.col("network_class") == MULTI_NETWORK
+    text = F.coalesce(F.col("bandwidth"), F.lit(""))
+    names = F.when(own, F.array(*map(F.lit, RATE_ANNOTATIONS))).otherwise(F.array(*map(F.lit, BANDWIDTH_ANNOTATIONS)))
+    value = F.when(own, network_rate(text).cast("string")).otherwise(text)
+    return clusters.where(text != "").select(*key, value.alias("value"), F.explode(names).alias("annotation"))
+
+
 def restart_required(changes: DataFrame, key: list[str], prop: str) -> DataFrame:
     """Whether a changed property needs a restart. The catalog has 117 fixed names, so it is an IN filter."""
     return changes.groupBy(*key).agg(

@@ -31,13 +31,15 @@ def instance_condition(label: Column, recorded_state: Column, summary: Column) -
 
 
 def cluster_health(
-    clusters: DataFrame, members: DataFrame, instances: DataFrame, artifacts: DataFrame | None, key: list[str]
+    clusters: DataFrame, members: DataFrame, instances: DataFrame, artifacts: DataFrame | None, key: list[str],
+    extend_faults: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict per cluster: whether it needs repair, three condition flags and the causes.
 
     clusters: key, ``local_role``, ``recorded_primary`` (and the columns expected_artifacts needs)
     members: key, ``ip``
     instances: latest facts per key and ``ip``, with the flags of ``instance_condition``
+    extend_faults: key and ``faulty``, as ``extend_ip_rollup`` gives them; a cluster with any needs repair
     Member and instance rows are stacked and reduced per (key, ip), then per key; every shuffle
     carries partial counts, so a very large cluster is no larger than a small one.
     """
@@ -74,9 +76,13 @@ def cluster_health(
             .groupBy(*key).agg(F.count_if(F.col("held").isNull()).alias("artifacts_missing"))
         )
         facts = facts.join(lost, key, "left")
+    if extend_faults is None:
+        facts = facts.withColumn("extend_ip_wrong", F.lit(0).cast("bigint"))
+    else:
+        facts = facts.join(extend_faults.select(*key, F.col("faulty").alias("extend_ip_wrong")), key, "left")
     counts = [
         "members_missing", "members_beyond", "not_ready", "in_maintenance", "mislabelled", "state_changed",
-        "primaries", "artifacts_missing",
+        "primaries", "artifacts_missing", "extend_ip_wrong",
     ]
     facts = facts.withColumns({
         c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in [*counts, "member_primaries", "recorded_primaries"]
@@ -93,12 +99,13 @@ def cluster_health(
         "primary": wrong_primary,
         "not_ready": F.col("not_ready") > 0,
         "artifacts": F.col("artifacts_missing") > 0,
+        "extend_ip": F.col("extend_ip_wrong") > 0,
     }
     facts = facts.withColumns({f"_{n}": c for n, c in causes.items()})
     on = {n: F.col(f"_{n}") for n in causes}
     return facts.select(
         *key, *counts,
-        (on["maintenance"] | on["members"] | on["primary"] | on["not_ready"] | on["artifacts"]).alias("needs_reconcile"),
+        (on["maintenance"] | on["members"] | on["primary"] | on["not_ready"] | on["artifacts"] | on["extend_ip"]).alias("needs_reconcile"),
         (~on["members"] & ~on["artifacts"]).alias("resource_ready"),
         (~on["maintenance"] & ~on["members"] & ~on["primary"] & ~on["not_ready"]).alias("instances_ready"),
         (~on["primary"] & ~on["artifacts"]).alias("service_ready"),
@@ -149,6 +156,32 @@ def distinct_members(members: DataFrame, key: list[str], member: str) -> DataFra
     )
 
 
+def fleet_members(members: DataFrame, namespace: str, key: list[str], member: str, lg_k: int = 12) -> DataFrame:
+    """Members of each namespace and, with a NULL namespace, of the fleet: exactly, and from sketches.
+
+    Each cluster has one sketch of its members; a level's sketch is the union of those below it, so that a new level, or
+    another day's clusters, needs no second look at the members. ``lg_k`` of 12 keeps the error near 1.6 %.
+    """
+    known = members.where(F.coalesce(F.col(member), F.lit("")) != "")
+    exact = known.rollup(namespace).agg(F.grouping(namespace).alias("_fleet"), F.count_distinct(member).alias("members"), F.count("*").alias("entries"))
+    sketches = known.groupBy(namespace, *key).agg(F.hll_sketch_agg(member, F.lit(lg_k)).alias("_sketch"))
+    merged = sketches.rollup(namespace).agg(
+        F.grouping(namespace).alias("_f"), F.count("*").alias("clusters"), F.hll_sketch_estimate(F.hll_union_agg("_sketch")).alias("estimated"))
+    merged = merged.withColumnRenamed(namespace, "_n")
+    return exact.join(merged, (F.col("_fleet") == F.col("_f")) & F.col(namespace).eqNullSafe(F.col("_n"))).select(
+        namespace, (F.col("_fleet") == 1).alias("is_fleet"), "clusters", "members", "entries", "estimated")
+
+
+def event_levels(events: DataFrame, ts: str, period: str, dims: list[str]) -> DataFrame:
+    """Events at every level of time bucket and dimensions, from the single reason up to all events.
+
+    ``level`` is the grouping id: a set bit, the last dimension lowest, means that the dimension is rolled up.
+    """
+    bucketed = events.withColumn("bucket", F.date_trunc(period, ts).cast("timestamp_ntz"))
+    return bucketed.rollup("bucket", *dims).agg(
+        F.grouping_id().alias("level"), F.count("*").alias("events"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+
+
 def event_rollup(events: DataFrame, ts: str, period: str, dims: list[str]) -> DataFrame:
     """Events per time bucket and dimension with first and last sighting."""
     return events.groupBy(F.date_trunc(period, ts).cast("timestamp_ntz").alias("bucket"), *dims).agg(

@@ -20,11 +20,10 @@ def decide(specs: DataFrame, health: DataFrame, key: list[str]) -> DataFrame:
         ~(bad & (F.coalesce(F.col("applied")["image"], F.lit("")) == ""))
     )
     filled = apply_defaults(usable).withColumn("desired", valid_spec())
-    flags = spec_change_flags(filled.select(*key, "desired", "applied"), key)
-    modes = filled.select(
-        *key, "state",
-        F.coalesce(F.col("desired")["maintenance"] & F.col("applied")["maintenance"], F.lit(False)).alias("in_maintenance"),
-    )
-    states = modes.join(flags, key).join(health.select(*key, "needs_reconcile"), key, "left")
+    both = F.col("desired")["maintenance"] & F.col("applied")["maintenance"]
+    modes = filled.select(*key, "state", F.coalesce(both, F.lit(False)).alias("in_maintenance"), "desired", "applied")
+    # the flags are row-local, so the modes go along as further key columns
+    flags = spec_change_flags(modes, [*key, "state", "in_maintenance"])
+    states = flags.join(health.select(*key, "needs_reconcile"), key, "left")
     states = states.withColumn("needs_reconcile", F.coalesce("needs_reconcile", F.lit(True)))
     return plan_action(states, key)
