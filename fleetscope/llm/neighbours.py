@@ -73,6 +73,8 @@ def _hashed(rows: DataFrame, polytope: CrossPolytope, probes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, x = _valid(batch, polytope.dims)
+            if not len(ids):
+                continue
             scale = np.abs(x).max(axis=1, keepdims=True)
             unit = x / scale
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
@@ -111,7 +113,7 @@ def search(
 
     Nearness is the inner product in double precision, ties go to the smaller id. All rows but those of the
     query's own id are candidates; fewer than ``k`` found are all returned. Vectors that are null, zero, of
-    another length than the longest, or hold null or non-finite components take no part, nor do rows without
+    another length than most (``common.vectors``), or hold null or non-finite components take no part, nor do rows without
     an id. Rows repeated under one id count once, with the best score. An empty table gives no rows. Other columns
     are not read.
 
@@ -121,9 +123,8 @@ def search(
     tables and probes for the recall asked.
     """
     common.small_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(vec).cast("long").alias("id"), F.col(embedding).alias("e"))
-    dims = rows.agg(F.max(F.size("e")).alias("n")).collect()[0].n
-    if dims is None or dims < 1:
+    rows, dims, _ = common.vectors(vectors, vec, embedding)
+    if not dims:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     polytope = CrossPolytope(dims, tables, functions, seed)
     index = common.written(_hashed(rows, polytope, 1), "polytope")

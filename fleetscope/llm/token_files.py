@@ -125,24 +125,42 @@ class Encoder:
 
     A space between two other characters always starts a piece, so a text is the sum of its words, each with
     its space, and a word is encoded once while it is remembered. Texts with touching white space or special
-    tokens go to the library whole, words with uncommon letters one by one. ``words``: how many are kept.
+    tokens go to the library whole, words with uncommon letters one by one.
+
+    Two generations of words are kept, each closed once it holds ``most_bytes`` of words and ids (by an estimate of what
+    Python needs for them); a word of the elder that is met again moves to the younger, so that frequent words stay.
     """
 
-    def __init__(self, path: str, words: int = 800_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), words
+        self.tokenizer, self.limit = Tokenizer.from_file(path), most_bytes
         self.bits = max(1, (max(self.tokenizer.get_vocab(True).values())).bit_length())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-        self._clear()
-
-    def _clear(self):
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.offsets = array.array("I"), array.array("q", [0])
+        self._turn()
+
+    def _turn(self):
+        """The younger generation becomes the elder one."""
+        self.elder = (self.known, self.flat, self.offsets) if self.known else ({}, None, None)
+        self.known = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.flat, self.offsets, self.bytes = array.array("I"), array.array("q", [0]), 0
+
+    def _remember(self, words: set[str]):
+        """Takes the words over from the elder generation, or encodes them."""
+        known, flat, offsets = self.elder
+        for word in words & known.keys() if known else ():
+            at = known[word]
+            self.flat.extend(flat[offsets[at] : offsets[at + 1]])
+            self.known[word] = len(self.offsets) - 1
+            self.offsets.append(len(self.flat))
+        self._learn(words.difference(known) if known else words)
+        # a word in a dictionary takes some 150 bytes besides its letters, and as much as a piece
+        self.bytes += sum(map(len, words)) + 300 * len(words)
 
     def _learn(self, words: set[str]):
         plain = [w for w in words if w and w[0] != "\x00" and _PLAIN.fullmatch(w)]
@@ -178,9 +196,9 @@ class Encoder:
             own[0] = "\x00" + own[0]
             words += own
             ends.append(len(words))
-        if len(self.known) > self.limit:
-            self._clear()
-        self._learn(set(words).difference(self.known))
+        if self.bytes > self.limit:
+            self._turn()
+        self._remember(set(words).difference(self.known))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         flat, offsets = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32), np.frombuffer(self.offsets, np.int64)
         begin, size = offsets[at], offsets[at + 1] - offsets[at]

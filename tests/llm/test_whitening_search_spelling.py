@@ -221,3 +221,26 @@ def test_filters_hold_all_and_little_else():
     slot, mask = filters.bits(inside, 6)
     np.bitwise_or.at(filters.blocks.reshape(-1), slot, mask)
     assert len(filters.hits(inside, 6)) == 5000 and len(filters.hits(outside, 6)) < 100 and not len(filters.hits(inside, 5)) and len(filters.hits(inside, 7)) < 50
+
+
+# ---- approximate neighbours, over the same rows
+
+
+def test_neighbours_of_batches_without_a_valid_vector(spark):
+    rows = [(i, None) for i in range(40)] + [(100, [1.0, 0.0]), (101, [0.5, 0.5]), (120, [0.0, 0.0]), (140, [1.0] * 9)]
+    from fleetscope.llm import neighbours
+
+    got = neighbours.search(table(spark, rows).repartitionByRange(4, "vec_id"), every=20)
+    assert [(r.query_id, r.vec_id, r.score) for r in got.collect()] == [(100, 101, 0.5)]
+    assert neighbours.search(table(spark, [(0, None), (1, [NAN])])).count() == 0
+
+
+def test_remembered_words_are_bounded_and_encoded_alike():
+    from fleetscope.llm import token_files
+
+    small, large = (token_files.Encoder(token_files.default_tokenizer(), n) for n in (20_000, 1 << 30))
+    texts = [" ".join(f"word{i * j % 97}x common, the{j}" for i in range(60)) for j in range(60)]
+    for at in range(0, 60, 5):
+        one, two = small.encode(texts[at : at + 5]), large.encode(texts[at : at + 5])
+        assert [o.tolist() for o in one] == [t.tolist() for t in two] == [small.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 5]]
+        assert len(small.known) + len(small.elder[0]) < 600
