@@ -131,7 +131,7 @@ class Encoder:
     Python needs for them); a word of the elder that is met again moves to the younger, so that frequent words stay.
     """
 
-    def __init__(self, path: str, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, most_bytes: int = 40 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), most_bytes
