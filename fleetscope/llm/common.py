@@ -1,5 +1,6 @@
 """Helpers the corpus operators share: reading, cutting lineage, word and shingle hashing inside tasks."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -46,6 +47,15 @@ def small_batches(spark: SparkSession, limit: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 
 
+def give_back() -> None:
+    """Returns memory a task has freed to the system; Python workers live on and their executor counts it as used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it holds
+        return
+
+
 # ---- vectors --------------------------------------------------------------------------------------
 
 

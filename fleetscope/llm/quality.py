@@ -116,6 +116,7 @@ def measure(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             x = matrix(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["d", "x"])
+        common.give_back()
 
     return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, x array<double>").withColumnRenamed("d", doc)
 

@@ -128,13 +128,13 @@ class Encoder:
     tokens go to the library whole, words with uncommon letters one by one.
 
     Two generations of words are kept, each closed once it holds ``most_bytes`` of words and ids (by an estimate of what
-    Python needs for them); a word of the elder that is met again moves to the younger, so that frequent words stay.
+    Python needs for them) or more than ``words`` of them; a word of the elder that is met again moves to the younger, so that frequent words stay.
     """
 
-    def __init__(self, path: str, most_bytes: int = 40 << 20):
+    def __init__(self, path: str, words: int | None = None, most_bytes: int = 40 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), most_bytes
+        self.tokenizer, self.words, self.limit = Tokenizer.from_file(path), words, most_bytes
         self.bits = max(1, (max(self.tokenizer.get_vocab(True).values())).bit_length())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -196,7 +196,7 @@ class Encoder:
             own[0] = "\x00" + own[0]
             words += own
             ends.append(len(words))
-        if self.bytes > self.limit:
+        if self.bytes > self.limit or (self.words is not None and len(self.known) > self.words):
             self._turn()
         self._remember(set(words).difference(self.known))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -264,6 +264,8 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end: in
                     seq, tokens, docs, counts, held = seq + 1, 0, [], [], []
         if docs:
             yield close()
+        held.clear()
+        common.give_back()
 
     rows.mapInArrow(run, f"part int, seq int, n_tokens long, docs array<{kind}>, counts array<long>, matrix binary").write.parquet(path)
 

@@ -238,7 +238,7 @@ def test_neighbours_of_batches_without_a_valid_vector(spark):
 def test_remembered_words_are_bounded_and_encoded_alike():
     from fleetscope.llm import token_files
 
-    small, large = (token_files.Encoder(token_files.default_tokenizer(), n) for n in (20_000, 1 << 30))
+    small, large = (token_files.Encoder(token_files.default_tokenizer(), most_bytes=n) for n in (20_000, 1 << 30))
     texts = [" ".join(f"word{i * j % 97}x common, the{j}" for i in range(60)) for j in range(60)]
     for at in range(0, 60, 5):
         one, two = small.encode(texts[at : at + 5]), large.encode(texts[at : at + 5])
