@@ -55,11 +55,12 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: the classifier and the tokenizer have no SQL; tests hold every stage against a plain version
+#: the classifier and the tokenizer have no SQL; tests hold the stages near_duplicates and mixture against plain versions
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over ``documents``. Each stage's rows are written and read again; an empty table passes through all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name)
