@@ -20,6 +20,8 @@ from . import common
 
 END = 2
 SHARD = 1 << 20
+#: characters whose words are looked up together
+AT_ONCE = 1 << 20
 
 
 class WaveletMatrix:
@@ -184,6 +186,17 @@ class Encoder:
             offsets.append(len(self.flat))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Texts are taken some ``AT_ONCE`` characters together, since a word in passing takes ten times its letters."""
+        out: list[np.ndarray] = []
+        low = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= AT_ONCE or k == len(texts) - 1:
+                out += self._encode(texts[low : k + 1])
+                low, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         whole = [k for k, t in enumerate(texts) if _TOUCHING.search(t) or any(s in t for s in self.special)]
         for k in whole:
