@@ -27,6 +27,8 @@ PAIRED = 2
 _COLD = 1 << 62
 #: tokens that a task counts at a time, and counts that it keeps in between
 COUNTED, KEPT = 1 << 22, 1 << 20
+#: most bytes of the filter of tokens that two classes hold; it is sent to every task, and beyond them lets more tokens through
+FILTER = 1 << 24
 #: classes, of 8 bytes, that are sent to every task to choose their texts; more are joined by a shuffle
 SENT = 500_000
 
@@ -102,47 +104,79 @@ def first_tokens(tokens: np.ndarray, order, percent: int) -> np.ndarray:
 
 
 def _classes(documents: DataFrame, width: int) -> DataFrame:
-    """(d, cls, n, tok, c): a row for each document with its class and set size, and rows (tok, c) for tokens frequent within one task."""
+    """(d, cls, n, t, tok, c): a row for each document with its class and set size, and a text of each class once a task; rows (tok, c) for tokens frequent within one task."""
     kind = documents.schema["d"].dataType.simpleString()
 
     def run(batches):
         seen, often = set(), Counts()
-        names = ["d", "cls", "n", "tok", "c"]
+        names = ["d", "cls", "n", "t", "tok", "c"]
         for batch in batches:
-            sets = [set_of(t, width) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            sets = [set_of(t, width) for t in texts]
             classes = [class_of(s) for s in sets]
-            for own, cls in zip(sets, classes):
+            for k, (own, cls) in enumerate(zip(sets, classes)):
                 if len(own) and cls not in seen:
                     seen.add(cls)
                     often.add((own >> np.uint64(2)).astype(np.int64))
+                else:
+                    texts[k] = None
             n = len(sets)
             kind_of = batch.column(0).type
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(classes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(texts, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names
+            )
         if seen:
             tokens, count = often.settle()
             tokens, count = tokens[count > 2], count[count > 2]
             k = len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind_of), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tokens, pa.int64()), pa.array(count, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(k, kind_of), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(tokens, pa.int64()), pa.array(count, pa.int64())], names
+            )
 
-    return documents.mapInArrow(run, f"d {kind}, cls long, n long, tok long, c long")
+    return documents.mapInArrow(run, f"d {kind}, cls long, n long, t string, tok long, c long")
 
 
-def _once_each(documents: DataFrame, width: int, schema: str, make) -> DataFrame:
-    """``make(cls, tokens, text)`` -> rows, for each class once a task."""
+def _firsts(texts: DataFrame, width: int, percent: int, order, repeated=None) -> DataFrame:
+    """First tokens of each class of (cls, t), once a task: (r) alone, or (r, cls, n, place) of those that the filter ``repeated`` may hold."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            out: list[list] = []
-            for text in batch.column(1).to_pylist():
+            out: list[tuple] = []
+            for cls, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if cls in seen:
+                    continue
+                seen.add(cls)
                 tokens = set_of(text, width)
-                if len(tokens) and (cls := class_of(tokens)) not in seen:
-                    seen.add(cls)
-                    out.append(make(cls, tokens, text))
+                r = first_tokens(tokens, order.value, percent)
+                if repeated is None:
+                    out.append((r,))
+                    continue
+                place = np.flatnonzero(may_hold(repeated.value, r))
+                out.append((r[place], np.full(len(place), cls), np.full(len(place), len(tokens)), place))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for y in c for x in y]) for c in zip(*out)], [f.split()[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["r", "cls", "n", "place"][: len(out[0])])
+
+    return texts.mapInArrow(run, "r long" if repeated is None else "r long, cls long, n long, place long")
+
 
-    return documents.mapInArrow(run, schema)
+def bits_of(tokens: DataFrame) -> np.ndarray:
+    """A filter of the tokens (r) that are not among the frequent ones: one bit each, 16 to a token, ``FILTER`` bytes at most. Beyond that it holds more."""
+    cells = 64
+    wanted = min(8 * FILTER, 16 * tokens.count())
+    while cells < wanted:
+        cells *= 2
+    slot = F.expr(f"(r & {cells - 1}L) div 64").alias("slot")
+    got = tokens.where(F.col("r") < _COLD).select(slot, F.expr("shiftleft(1L, cast(r & 63 as int))").alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(cells // 64, np.uint64)
+    bits[got["slot"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+    return bits
+
+
+def may_hold(bits: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Whether each token may be in the filter; frequent tokens always may."""
+    place = r & (64 * len(bits) - 1)
+    return (r >= _COLD) | (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def _compared(width: int, percent: int):
@@ -202,8 +236,8 @@ def join(
     spark = documents.sparkSession
     common.small_batches(spark)
     rows = documents.select(F.col(doc).alias("d"), F.col(text).alias("t"))
-    texts = rows.where(F.length("t") > 0)
     found = common.written(_classes(rows, width), "classes")
+    texts = found.where("t IS NOT NULL").select("cls", "t")
     own = found.where("cls IS NOT NULL").select("d", "cls", "n")
     hot = found.where("tok IS NOT NULL").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "tok").limit(frequent).toArrow()
     names, counts = hot["tok"].to_numpy(), hot["c"].to_numpy()
@@ -211,15 +245,12 @@ def join(
     place[np.lexsort((names, counts))] = np.arange(len(names))
     shared = spark.sparkContext.broadcast((names[by_name], place[by_name]))
 
-    def firsts(cls, tokens, _):
-        ranks = first_tokens(tokens, shared.value, percent)
-        return ranks, np.full(len(ranks), cls, np.int64), np.full(len(ranks), len(tokens), np.int64), np.arange(len(ranks))
-
-    postings = _once_each(texts, width, "r long, cls long, n long, place long", firsts)
     # ---- groups: classes that share first tokens, around the least class of each token
     # copies in two tasks count a token twice here; the distinct rows are counted again below
-    tokens = common.written(postings.groupBy("r").agg(F.count("*").alias("k")).where("k > 1").select("r"), "tokens")
-    held = common.written(postings.join(tokens, "r").distinct(), "matrix")
+    tokens = common.written(_firsts(texts, width, percent, shared).groupBy("r").agg(F.count("*").alias("k")).where("k > 1").select("r"), "tokens")
+    # most first tokens are met once and leave in the task; a few that the filter cannot tell go with the exact join
+    repeated = spark.sparkContext.broadcast(bits_of(tokens))
+    held = common.written(_firsts(texts, width, percent, shared, repeated).join(tokens, "r").distinct(), "matrix")
     # a place counts where it does against some partner of the token; a class with fewer of them than it shares with any partner has none
     reach = F.max(F.expr(f"100 * n - {100 + percent} * (place - {SHARED - 1})")).alias("reach")
     counts = f"{percent} * n <= reach AND {within('n', 'place', f'greatest(least, (n * {percent} + 99) div 100)', percent)}"
@@ -238,7 +269,7 @@ def join(
     wanted = home.select("cls")
     if home.count() <= SENT:  # else both sides are dealt by class
         wanted = F.broadcast(wanted)
-    sets = common.written(_once_each(texts, width, "cls long, t string", lambda cls, _, t: ([cls], [t])).join(wanted, "cls").dropDuplicates(["cls"]), "texts")
+    sets = common.written(texts.join(wanted, "cls").dropDuplicates(["cls"]), "texts")
     members = home.select("cls", "centre", "part").unionByName(
         home.groupBy("centre").agg(F.max("cuts").alias("cuts")).select(F.col("centre").alias("cls"), "centre", F.explode(F.expr("sequence(0, cuts - 1)")).alias("part"))
     ).distinct()

@@ -366,3 +366,16 @@ def test_scores_are_those_of_the_densities():
     x = [rng.normal(k, 1 + k, (300, d)) for k in (0, 1)]
     model = quality.solve([300.0, 300.0], [v.sum(axis=0) for v in x], [v.T @ v for v in x], 0.02, 0.5)
     assert (model.scores(x[1]) > 0.5).mean() > 0.95 and (model.scores(x[0]) < 0.5).mean() > 0.95
+
+
+def test_a_full_token_filter_changes_no_result(spark, docs, monkeypatch):
+    rows = spark.createDataFrame([(int(r),) for r in np.arange(5000) * 7919 % (1 << 40)], "r long")
+    bits = jaccard_join.bits_of(rows)
+    kept = np.array([r.r for r in rows.collect()])
+    others = np.arange(1, 100_000) * 104_729 + (1 << 41)
+    assert jaccard_join.may_hold(bits, kept).all() and jaccard_join.may_hold(bits, others).mean() < 0.15
+    assert jaccard_join.may_hold(bits, np.array([jaccard_join._COLD])).all()
+    plain = sorted(map(tuple, jaccard_join.join(docs).collect()), key=str)
+    monkeypatch.setattr(jaccard_join, "FILTER", 8)
+    assert len(jaccard_join.bits_of(rows)) == 1
+    assert sorted(map(tuple, jaccard_join.join(docs).collect()), key=str) == plain
