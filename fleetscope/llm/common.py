@@ -1,6 +1,7 @@
 """Helpers the corpus operators share: reading, cutting lineage, word and shingle hashing inside tasks."""
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -82,6 +83,9 @@ def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
 # ---- words and shingles as numbers ----------------------------------------------------------------
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: bytes of a long text that are hashed together
+_BLOCK = 1 << 17
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(_SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,12 +123,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.
 
-    The text's bytes are one polynomial prefix sum modulo 2^64; a word's hash is the difference at its
-    ends, shifted to a common place, so that no Python runs per word.
+    The bytes are polynomial prefix sums modulo 2^64; a word's hash is the difference at its ends, shifted to
+    a common place, so that no Python runs per word. A long text is taken in blocks that end at a white space;
+    the arrays of a block take some 50 bytes a byte.
     """
-    if not text:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= _BLOCK:
+        return _hashed(raw)
+    out, low = [], 0
+    while low < len(raw):
+        cut = _SPACE.search(raw, low + _BLOCK)
+        high = cut.start() if cut else len(raw)
+        out.append(_hashed(raw[low:high]))
+        low = high
+    return np.concatenate(out)
+
+
+def _hashed(raw: bytes) -> np.ndarray:
+    """The hashes of a block's words."""
+    if not raw:
         return np.empty(0, np.uint64)
-    b = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    b = _LOWER[np.frombuffer(raw, np.uint8)]
     space = _IS_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]

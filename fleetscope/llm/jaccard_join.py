@@ -26,7 +26,7 @@ GROUP, FREQUENT, SHARED = 256, 65_536, 8
 PAIRED = 2
 _COLD = 1 << 62
 #: tokens that a task counts at a time, and counts that it keeps in between
-COUNTED, KEPT = 1 << 22, 1 << 20
+COUNTED, KEPT = 1 << 21, 1 << 20
 #: most bytes of the filter of tokens that two classes hold; it is sent to every task, and beyond them lets more tokens through
 FILTER = 1 << 24
 #: classes, of 8 bytes, that are sent to every task to choose their texts; more are joined by a shuffle
@@ -76,14 +76,16 @@ class Counts:
 
     def settle(self):
         if self.waiting:
-            tokens, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
-            often = counts > 1
-            tokens, at = np.unique(np.concatenate((self.tokens, tokens[often])), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate((self.counts, counts[often])), minlength=len(tokens)).astype(np.int64)
+            met = np.concatenate(self.waiting)
+            self.waiting, self.size = [], 0
+            met.sort()
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], met[1:] == met[:-1], [False])).view(np.int8)))
+            tokens, at = np.unique(np.concatenate((self.tokens, met[edge[::2]])), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate((self.counts, edge[1::2] - edge[::2] + 1)), minlength=len(tokens)).astype(np.int64)
             if len(tokens) > KEPT:
                 keep = np.sort(np.argpartition(counts, -KEPT)[-KEPT:])
                 tokens, counts = tokens[keep], counts[keep]
-            self.tokens, self.counts, self.waiting, self.size = tokens, counts, [], 0
+            self.tokens, self.counts = tokens, counts
         return self.tokens, self.counts
 
 
@@ -132,6 +134,7 @@ def _classes(documents: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(k, kind_of), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(tokens, pa.int64()), pa.array(count, pa.int64())], names
             )
+        common.give_back()
 
     return documents.mapInArrow(run, f"d {kind}, cls long, n long, t string, tok long, c long")
 
@@ -156,6 +159,7 @@ def _firsts(texts: DataFrame, width: int, percent: int, order, repeated=None) ->
                 out.append((r[place], np.full(len(place), cls), np.full(len(place), len(tokens)), place))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["r", "cls", "n", "place"][: len(out[0])])
+        common.give_back()
 
     return texts.mapInArrow(run, "r long" if repeated is None else "r long, cls long, n long, place long")
 
