@@ -12,7 +12,9 @@ from fleetscope.llm import common, decontaminate, jaccard_join, mixing, quality,
 def keep_quality(spark, docs, sf_dir):
     """Drops documents that the classifier takes for label 0. It learns from the labelled documents of the folds not held out."""
     labels = common.table(spark, sf_dir, "labels", "doc_id", "quality").where(~quality.held_out())
-    return quality.keep_good(docs, quality.fit(quality.measure(docs), labels))
+    # written, so that measuring and adding up are not two Python workers of one task
+    measured = common.written(quality.measure(docs), "statistics")
+    return quality.keep_good(docs, quality.fit(measured, labels))
 
 
 def _with_rows(docs):
