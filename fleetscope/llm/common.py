@@ -4,6 +4,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, and has a known size.
 
-    The table goes when the session's file systems close.
+    The table goes by ``dropped``, or when the session's file systems close.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _places[table] = place
+    return table
+
+
+_places: "weakref.WeakKeyDictionary[DataFrame, object]" = weakref.WeakKeyDictionary()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` early. For those whose every use is itself written by now, so that no lost executor needs them again."""
+    for table in tables:
+        place = _places.pop(table)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession, limit: str = "8m") -> None:

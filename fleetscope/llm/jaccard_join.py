@@ -242,7 +242,7 @@ def join(
     rows = documents.select(F.col(doc).alias("d"), F.col(text).alias("t"))
     found = common.written(_classes(rows, width), "classes")
     texts = found.where("t IS NOT NULL").select("cls", "t")
-    own = found.where("cls IS NOT NULL").select("d", "cls", "n")
+    own = common.written(found.where("cls IS NOT NULL").select("d", "cls", "n"), "own")
     hot = found.where("tok IS NOT NULL").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "tok").limit(frequent).toArrow()
     names, counts = hot["tok"].to_numpy(), hot["c"].to_numpy()
     by_name, place = np.argsort(names), np.empty(len(names), np.int64)
@@ -255,17 +255,21 @@ def join(
     # most first tokens are met once and leave in the task; a few that the filter cannot tell go with the exact join
     repeated = spark.sparkContext.broadcast(bits_of(tokens))
     held = common.written(_firsts(texts, width, percent, shared, repeated).join(tokens, "r").distinct(), "matrix")
+    common.dropped(tokens)
     # a place counts where it does against some partner of the token; a class with fewer of them than it shares with any partner has none
     reach = F.max(F.expr(f"100 * n - {100 + percent} * (place - {SHARED - 1})")).alias("reach")
     counts = f"{percent} * n <= reach AND {within('n', 'place', f'greatest(least, (n * {percent} + 99) div 100)', percent)}"
     asked = f"least({SHARED}, (n * {percent} + 99) div 100)"
     holders = held.groupBy("r").agg(F.count("*").alias("classes"), F.min("n").alias("least"), reach).where("classes > 1")
-    held = common.written(held.join(holders, "r").where(counts).select("r", "cls", "n", "place", "classes"), "matrix")
+    before, held = held, common.written(held.join(holders, "r").where(counts).select("r", "cls", "n", "place", "classes"), "matrix")
+    common.dropped(before)
     score = held.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.sum("classes").alias("score")).where(f"k >= {asked}").select("cls", "score")
-    held = common.written(held.join(score, "cls").drop("classes"), "matrix")
+    before, held = held, common.written(held.join(score, "cls").drop("classes"), "matrix")
+    common.dropped(before)
     # the centre of a token is the class whose first tokens are the most common: of near copies, what they are copies of
     centres = held.groupBy("r").agg(F.max(F.struct("score", "cls"))["cls"].alias("centre"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    held = common.written(held.join(centres, "r").select("r", "cls", "n", "place", "centre"), "matrix")
+    before, held = held, common.written(held.join(centres, "r").select("r", "cls", "n", "place", "centre"), "matrix")
+    common.dropped(before)
     best = held.groupBy("cls", "centre").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     home = best.groupBy("cls").agg(F.max(F.struct("k", "centre"))["centre"].alias("centre"), F.first("n").alias("n"))
     cuts = home.groupBy("centre").agg(F.expr(f"cast(ceil(count(*) / {group}) as int)").alias("cuts"))
@@ -274,6 +278,7 @@ def join(
     if home.count() <= SENT:  # else both sides are dealt by class
         wanted = F.broadcast(wanted)
     sets = common.written(texts.join(wanted, "cls").dropDuplicates(["cls"]), "texts")
+    common.dropped(found)
     members = home.select("cls", "centre", "part").unionByName(
         home.groupBy("centre").agg(F.max("cuts").alias("cuts")).select(F.col("centre").alias("cls"), "centre", F.explode(F.expr("sequence(0, cuts - 1)")).alias("part"))
     ).distinct()
@@ -285,8 +290,10 @@ def join(
     placed = held.join(labels, held["cls"] == labels["node"], "left").select("r", "cls", "n", "place", F.coalesce("label", "cls").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     open_tokens = placed.groupBy("r").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("least"), reach).where("lo != hi")
     placed = common.written(placed.join(open_tokens, "r").where(counts).select("r", "cls", "n", "place", "grp", "members"), "placed")
+    common.dropped(held, labels)
     able = placed.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"k >= {asked}").select("cls")
-    placed = common.written(placed.join(able, "cls").join(home.select("cls", "centre", "part"), "cls"), "placed")
+    before, placed = placed, common.written(placed.join(able, "cls").join(home.select("cls", "centre", "part"), "cls"), "placed")
+    common.dropped(before)
     # of a token and a group: sizes of the members that hold it, and the largest partner for which its place counts
     unions = placed.groupBy("r", "grp").agg(
         F.first("members").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), reach
@@ -305,6 +312,7 @@ def join(
     pairs = pairs.join(sets.select(F.col("cls").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("cls").alias("y"), F.col("t").alias("ty")), "y").select("x", "y", "tx", "ty")
     across = pairs.mapInArrow(_verified(width, percent), "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
     across = common.written(across, "across")
+    common.dropped(placed, home, sets)
     labels = components(inside.unionByName(across))
     # ---- documents
     named = own.join(labels, own["cls"] == labels["node"], "left").select("d", "n", F.coalesce("label", "cls").alias("label"))
