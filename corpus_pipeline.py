@@ -46,7 +46,8 @@ def take_mixture(spark, docs, sf_dir):
 
 def write_tokens(spark, docs, sf_dir):
     """Token files of the mixture, and what they hold of each document."""
-    return token_files.round_trip(docs)
+    # the workers go on to other stages, whose memory the words would take
+    return token_files.round_trip(docs, keep=False)
 
 
 STAGES = [

@@ -6,6 +6,7 @@ what token stands at a place, how often a token occurs before it, and where its
 """
 
 import array
+import codecs
 import re
 import zlib
 
@@ -20,8 +21,8 @@ from . import common
 
 END = 2
 SHARD = 1 << 20
-#: characters whose words are looked up together
-AT_ONCE = 1 << 20
+#: words of a text that are looked up together
+AT_ONCE = 1 << 16
 
 
 class WaveletMatrix:
@@ -35,11 +36,11 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int):
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            ones = (ids >> np.asarray(level, ids.dtype)) & np.asarray(1, ids.dtype) != 0
+            ones = (ids & ids.dtype.type(1 << level)).astype(bool)
             planes.append(ones)
-            low = ids[~ones]
+            low = np.flatnonzero(~ones)  # places are faster than masks, since bits come in no order
             zeros.append(len(low))
-            ids = np.concatenate((low, ids[ones]))
+            ids = ids.take(np.concatenate((low, np.flatnonzero(ones))))
         return cls(planes, zeros, len(ids))
 
     def to_bytes(self) -> bytes:
@@ -64,8 +65,8 @@ class WaveletMatrix:
         out = np.zeros(self.n, np.uint32)
         for depth in range(len(self.planes) - 1, -1, -1):
             ones, up = self.planes[depth], np.empty(self.n, np.uint32)
-            up[~ones] = out[: self.zeros[depth]]
-            up[ones] = out[self.zeros[depth] :] | np.uint32(1 << (len(self.planes) - 1 - depth))
+            up[np.flatnonzero(~ones)] = out[: self.zeros[depth]]
+            up[np.flatnonzero(ones)] = out[self.zeros[depth] :] | np.uint32(1 << (len(self.planes) - 1 - depth))
             out = up
         return out
 
@@ -120,6 +121,18 @@ class WaveletMatrix:
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _TOUCHING = re.compile(r"\s\s|\x00")
 _PLAIN = regex.compile("[\\n!-~¡-ɏ]*")
+#: marks that make one piece where they end a word
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Known(dict):
+    """Words and the bytes of their ids; a word that is not there is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str):
+        return self.learn(word)
 
 
 class Encoder:
@@ -127,100 +140,99 @@ class Encoder:
 
     A space between two other characters always starts a piece, so a text is the sum of its words, each with
     its space, and a word is encoded once while it is remembered. Texts with touching white space or special
-    tokens go to the library whole, words with uncommon letters one by one.
+    tokens go to the library whole, words with uncommon letters one by one. Words without a space before them are
+    remembered with a \\x00 before them; a word of several pieces is put together from theirs.
 
     Two generations of words are kept, each closed once it holds ``most_bytes`` of words and ids (by an estimate of what
     Python needs for them) or more than ``words`` of them; a word of the elder that is met again moves to the younger, so that frequent words stay.
     """
 
-    def __init__(self, path: str, words: int | None = None, most_bytes: int = 40 << 20):
+    def __init__(self, path: str, words: int | None = None, most_bytes: int = 100 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.limit = Tokenizer.from_file(path), words, most_bytes
+        pieces = Tokenizer.from_file(path)
+        # the library's own memory of pieces takes as long as the merging of a new one, and all of them are new here
+        pieces.model._resize_cache(0)
+        self.tokenize = pieces.model.tokenize
         self.bits = max(1, (max(self.tokenizer.get_vocab(True).values())).bit_length())
+        self.kind = np.dtype("u2" if self.bits <= 16 else "u4")
+        self.code = next(c for c in "HIL" if array.array(c).itemsize == self.kind.itemsize)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-        self.known: dict[str, int] = {}
+        letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.letters = "".join(chr(letters[b]) for b in range(256))
+        self.line = self._packed([t.id for t in self.tokenize(self.letters[10])])
+        self.known = _Known(self._learn)
         self._turn()
 
     def _turn(self):
         """The younger generation becomes the elder one."""
-        self.elder = (self.known, self.flat, self.offsets) if self.known else ({}, None, None)
-        self.known = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.flat, self.offsets, self.bytes = array.array("I"), array.array("q", [0]), 0
-
-    def _remember(self, words: set[str]):
-        """Takes the words over from the elder generation, or encodes them."""
-        known, flat, offsets = self.elder
-        for word in words & known.keys() if known else ():
-            at = known[word]
-            self.flat.extend(flat[offsets[at] : offsets[at + 1]])
-            self.known[word] = len(self.offsets) - 1
-            self.offsets.append(len(self.flat))
-        self._learn(words.difference(known) if known else words)
-        # a word in a dictionary takes some 150 bytes besides its letters, and as much as a piece
-        self.bytes += sum(map(len, words)) + 300 * len(words)
-
-    def _learn(self, words: set[str]):
-        plain = [w for w in words if w and w[0] != "\x00" and _PLAIN.fullmatch(w)]
-        known, offsets, extend, pieces, tokenize, letters = self.known, self.offsets, self.flat.extend, self.pieces, self.tokenizer.model.tokenize, self.letters
-        first = len(offsets) - 1
-        for piece in _PIECES.findall(" " + " ".join(plain)) if plain else ():
-            if piece[0] == " " and len(self.flat) > offsets[-1]:
-                offsets.append(len(self.flat))  # a plain word has no space but its own first one
-            ids = pieces.get(piece)
-            if ids is None:
-                shown = "\u0120" + piece[1:] if piece[0] == " " and piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(letters)
-                ids = pieces[piece] = tuple([t.id for t in tokenize(shown)])
-            extend(ids)
-        if plain:
-            offsets.append(len(self.flat))
-            known.update(zip(plain, range(first, first + len(plain))))
-        for word in words.difference(plain):
-            text = word[1:] if word[:1] == "\x00" else " " + word
-            extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            known[word] = len(offsets) - 1
-            offsets.append(len(self.flat))
+        self.elder, self.known, self.bytes = (self.known,), _Known(self._learn), 0
+
+    def _learn(self, word: str):
+        """Takes a word over from the elder generation, or encodes it."""
+        ids = self.elder[0].get(word, word)
+        if ids is word:
+            ids = self._ids(word)
+        self.known[word] = ids
+        # a word in a dictionary and its ids take some 160 bytes besides its letters
+        self.bytes += 160 + len(word) + len(ids or b"")
+        return ids
+
+    def _ids(self, word: str):
+        """The bytes of a word's ids; None if it holds or touches white space that may touch more."""
+        if word.isascii() and word.isalpha():
+            return self._packed([t.id for t in self.tokenize("\u0120" + word)])
+        if word == "\x00":
+            return b""
+        stem = word.rstrip(_MARKS)
+        if len(stem) < len(word) and stem.isalpha() and _PLAIN.fullmatch(stem):
+            return self.known[stem] + self.known["\x00" + word[len(stem) :]]
+        first = word[:1] == "\x00"
+        text = word[1:] if first else " " + word
+        own = text[not first :]
+        if not own or own[0].isspace() or own[-1].isspace() or _TOUCHING.search(own):
+            return None
+        if not _PLAIN.fullmatch(own):
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        pieces = _PIECES.findall(text)
+        if len(pieces) > 1:
+            return b"".join([self._piece(p) for p in pieces])
+        return self._packed([t.id for t in self.tokenize(codecs.charmap_decode(text.encode(), "strict", self.letters)[0])])
+
+    def _piece(self, piece: str) -> bytes:
+        if piece == "\n":
+            return self.line
+        return self.known[piece[1:] if piece[0] == " " else "\x00" + piece]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array.array(self.code, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Texts are taken some ``AT_ONCE`` characters together, since a word in passing takes ten times its letters."""
-        out: list[np.ndarray] = []
-        low = size = 0
-        for k, text in enumerate(texts):
-            size += len(text)
-            if size >= AT_ONCE or k == len(texts) - 1:
-                out += self._encode(texts[low : k + 1])
-                low, size = k + 1, 0
-        return out
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        whole = [k for k, t in enumerate(texts) if _TOUCHING.search(t) or any(s in t for s in self.special)]
-        for k in whole:
-            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-        rest = [k for k in range(len(texts)) if out[k] is None]
-        words: list[str] = []
-        ends = []
-        for k in rest:
-            own = texts[k].split(" ")
-            own[0] = "\x00" + own[0]
-            words += own
-            ends.append(len(words))
-        if self.bytes > self.limit or (self.words is not None and len(self.known) > self.words):
-            self._turn()
-        self._remember(set(words).difference(self.known))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        flat, offsets = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32), np.frombuffer(self.offsets, np.int64)
-        begin, size = offsets[at], offsets[at + 1] - offsets[at]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        for k, low, high in zip(rest, [0, *ends], ends):
-            out[k] = ids[total[low] : total[high]]
-        del flat, offsets  # the arrays may grow again
-        return out
+        """The ids of each text."""
+        return [np.frombuffer(self._encode(t), self.kind) for t in texts]
+
+    def _encode(self, text: str) -> bytes:
+        if "\x00" in text or any(s in text for s in self.special):
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        words = text.split(" ")
+        words[0] = "\x00" + words[0]
+        out = []
+        for low in range(0, len(words), AT_ONCE):
+            if self.bytes > self.limit or (self.words is not None and len(self.known) > self.words):
+                self._turn()
+            some = words[low : low + AT_ONCE]
+            try:
+                out.append(b"".join(map(self.known.__getitem__, some)))
+            except TypeError:  # a word is None
+                if _TOUCHING.search(text):
+                    return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                for word in some:
+                    ids = self.known[word]
+                    out.append(self._packed(self.tokenizer.encode(word[1:] if word[:1] == "\x00" else " " + word, add_special_tokens=False).ids) if ids is None else ids)
+        return b"".join(out)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -233,19 +245,25 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Lets go of a worker's own; a function of the module, since tasks get copies of what theirs name."""
+    _encoders.pop(path, None)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write(documents: DataFrame, path: str, tokenizer: str | None = None, end: int = END, shard: int = SHARD, doc: str = "doc_id", text: str = "text") -> None:
+def write(documents: DataFrame, path: str, tokenizer: str | None = None, end: int = END, shard: int = SHARD, doc: str = "doc_id", text: str = "text", keep: bool = True) -> None:
     """Writes the shards of ``documents`` to ``path``, a Parquet table of (part, seq, n_tokens, docs, counts, matrix).
 
     Ids are cut into ranges, one task each; a task encodes its documents in order of id and closes a shard
     once it has ``shard`` tokens. (part, seq) order the shards. ``matrix`` is the compressed wavelet matrix.
     Every document ends with the token ``end``. Null texts are empty; null ids come first; documents of
     one id are ordered by text. An empty table gives an empty one. Other columns are not read.
+    Workers ``keep`` the words they know for later tasks, some 250 MB each; without, they give them back after each task.
     """
     common.small_batches(documents.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
@@ -278,6 +296,9 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end: in
         if docs:
             yield close()
         held.clear()
+        if not keep:
+            own = None
+            forget(tokenizer)
         common.give_back()
 
     rows.mapInArrow(run, f"part int, seq int, n_tokens long, docs array<{kind}>, counts array<long>, matrix binary").write.parquet(path)
@@ -342,13 +363,13 @@ def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
     return shards.select("matrix").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def round_trip(documents: DataFrame, path: str | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(documents: DataFrame, path: str | None = None, doc: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """Writes the files (to the shared folder, if no path is given) and returns ``documents_in`` what they hold."""
     import uuid
 
     spark = documents.sparkSession
     path = path or f"{common.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write(documents, path, doc=doc, text=text)
+    write(documents, path, doc=doc, text=text, keep=keep)
     return documents_in(read(spark, path), doc)
 
 
