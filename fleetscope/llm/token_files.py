@@ -40,7 +40,7 @@ class WaveletMatrix:
             planes.append(ones)
             low = np.flatnonzero(~ones)  # places are faster than masks, since bits come in no order
             zeros.append(len(low))
-            ids = ids.take(np.concatenate((low, np.flatnonzero(ones))))
+            ids = np.concatenate((ids.take(low), ids.take(np.flatnonzero(ones))))
         return cls(planes, zeros, len(ids))
 
     def to_bytes(self) -> bytes:
@@ -62,13 +62,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane's order back to the first's."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for depth in range(len(self.planes) - 1, -1, -1):
-            ones, up = self.planes[depth], np.empty(self.n, np.uint32)
+            ones, up = self.planes[depth], np.empty(self.n, kind)
             up[np.flatnonzero(~ones)] = out[: self.zeros[depth]]
-            up[np.flatnonzero(ones)] = out[self.zeros[depth] :] | np.uint32(1 << (len(self.planes) - 1 - depth))
+            up[np.flatnonzero(ones)] = out[self.zeros[depth] :] | kind(1 << (len(self.planes) - 1 - depth))
             out = up
-        return out
+        return out.astype(np.uint32)
 
     @property
     def ranks(self) -> list[np.ndarray]:
@@ -188,14 +189,18 @@ class Encoder:
         if word == "\x00":
             return b""
         stem = word.rstrip(_MARKS)
-        if len(stem) < len(word) and stem.isalpha() and _PLAIN.fullmatch(stem):
+        if len(stem) < len(word) and stem.isalpha() and (stem.isascii() or _PLAIN.fullmatch(stem)):
             return self.known[stem] + self.known["\x00" + word[len(stem) :]]
+        lines = word.split("\n")
+        if len(lines) > 1 and all(lines) and lines[0] != "\x00":  # a line break between two other characters is a piece
+            ids = [self.known[lines[0]], *[self.known["\x00" + w] for w in lines[1:]]]
+            return None if None in ids else self.line.join(ids)
         first = word[:1] == "\x00"
         text = word[1:] if first else " " + word
         own = text[not first :]
         if not own or own[0].isspace() or own[-1].isspace() or _TOUCHING.search(own):
             return None
-        if not _PLAIN.fullmatch(own):
+        if not (own.isascii() and own.isprintable() or _PLAIN.fullmatch(own)):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         pieces = _PIECES.findall(text)
         if len(pieces) > 1:

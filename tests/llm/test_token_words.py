@@ -15,6 +15,13 @@ def test_odd_texts_are_encoded_as_the_library_does():
         assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_on_both_sides_of_a_line_break_are_remembered():
+    own = token_files.Encoder(token_files.default_tokenizer())
+    texts = ["the end.\nStart of\nit", "x " + "line\n" * 20_000 + "end", "a\t\nb c", "(a\n\rb) c", "q ɐ\nb's\n'twas"]
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert {"end.", "\x00Start", "of", "\x00it"} <= own.known.keys()
+
+
 def test_many_words_stay_known():
     words = {"".join(w) for w in zip(*[iter(random.Random(5).choices(string.ascii_lowercase, k=6 * 350_000))] * 6)}
     own, every = token_files.Encoder(token_files.default_tokenizer()), sorted(words)
