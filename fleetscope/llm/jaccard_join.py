@@ -240,7 +240,7 @@ def join(
     spark = documents.sparkSession
     common.small_batches(spark)
     rows = documents.select(F.col(doc).alias("d"), F.col(text).alias("t"))
-    found = common.written(_classes(rows, width), "classes")
+    found = common.written(_classes(rows, width), "classes", "zstd")
     texts = found.where("t IS NOT NULL").select("cls", "t")
     own = common.written(found.where("cls IS NOT NULL").select("d", "cls", "n"), "own")
     hot = found.where("tok IS NOT NULL").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "tok").limit(frequent).toArrow()
@@ -277,7 +277,7 @@ def join(
     wanted = home.select("cls")
     if home.count() <= SENT:  # else both sides are dealt by class
         wanted = F.broadcast(wanted)
-    sets = common.written(texts.join(wanted, "cls").dropDuplicates(["cls"]), "texts")
+    sets = common.written(texts.join(wanted, "cls").dropDuplicates(["cls"]), "texts", "zstd")
     common.dropped(found)
     members = home.select("cls", "centre", "part").unionByName(
         home.groupBy("centre").agg(F.max("cuts").alias("cuts")).select(F.col("centre").alias("cls"), "centre", F.explode(F.expr("sequence(0, cuts - 1)")).alias("part"))

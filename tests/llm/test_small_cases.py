@@ -379,3 +379,17 @@ def test_a_full_token_filter_changes_no_result(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FILTER", 8)
     assert len(jaccard_join.bits_of(rows)) == 1
     assert sorted(map(tuple, jaccard_join.join(docs).collect()), key=str) == plain
+
+
+def test_texts_between_steps_of_the_join_are_packed_tightly(spark, monkeypatch):
+    packed, write = {}, common.written
+
+    def written(df, label, *codec):
+        table = write(df, label, *codec)
+        packed.setdefault(label, table.inputFiles())
+        return table
+
+    monkeypatch.setattr(common, "written", written)
+    docs = spark.createDataFrame([(k, f"one two three four five {k}") for k in range(9)], "doc_id long, text string")
+    assert jaccard_join.join(docs).count() == 9
+    assert all(".zstd." in f for label in ("classes", "texts") for f in packed[label])
