@@ -109,8 +109,9 @@ def top_k(
 
     Cells lie around at most ``most_cells`` rows drawn by a hash of their ids; the draw decides only what lies together.
     A cell of any size, equal vectors included, is cut by a hash of row numbers into shards of about ``shard`` rows, and
-    queries into blocks of about ``block``, so that a task holds one tree and one block at a time. Each
-    block meets each shard once; the root's bound turns away queries that cannot gain there.
+    queries into blocks of about ``block``, so that Python holds one tree and one block at a time. Each
+    block meets each shard once, by a product of the two written tables without a shuffle or broadcast; the root's
+    bound turns away queries that cannot gain there.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
@@ -119,7 +120,8 @@ def top_k(
     if not n:
         return empty
     cells = min(most_cells, -(-n // shard))
-    drawn = taken.orderBy(F.xxhash64("id"), "id").limit(cells).collect()
+    # written first, so that each task's own draw goes to another task, not to the driver
+    drawn = common.written(taken.orderBy(F.xxhash64("id"), "id").limit(cells), "drawn").collect()
     pivots = np.floor(scale * np.array([r.e for r in drawn]))
     half = (pivots**2).sum(axis=1) / 2
 
@@ -186,16 +188,16 @@ def top_k(
     found_type = "query_id long, vec_id long, score long, kth long"
     at_home = asked.select(F.col("shard").alias("part"), "id", "y", F.col("shard").alias("home"), F.lit(_LONG[0]).alias("floor"))
     at_home = at_home.groupBy("part").applyInPandas(pack, packed).withColumnRenamed("part", "shard")
-    near = common.written(at_home.join(trees, "shard").mapInArrow(look(True), found_type), "near")
+    # "merge": equal vectors pack so well that a table's size says little of what would be broadcast
+    near = common.written(at_home.join(trees.hint("merge"), "shard").mapInArrow(look(True), found_type), "near")
 
     floors = near.groupBy(F.col("query_id").alias("id")).agg(F.max("kth").alias("floor"))
     parts = max(1, -(-asked.count() // block))
     blocks = asked.join(floors, "id", "left").select(
         F.expr(f"cast(pmod(xxhash64(id, row), {parts}) as int)").alias("part"), "id", "y", F.col("shard").alias("home"), F.coalesce("floor", F.lit(_LONG[0])).alias("floor")
     ).groupBy("part").applyInPandas(pack, packed)
-    everywhere = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(base - 1))))
-    dealt = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    far = everywhere.join(dealt, ["shard", "part"]).mapInArrow(look(False), found_type)
+    # tasks read a part of each table; no tree or block goes over the driver or is shuffled once for each that it meets
+    far = trees.crossJoin(common.written(blocks, "blocks").hint("shuffle_replicate_nl")).mapInArrow(look(False), found_type)
     once = near.unionByName(far).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -111,6 +111,15 @@ def test_top_k_equals_a_plain_search(spark, mixed, shard, block):
     assert sorted(map(tuple, got.collect())) == plain_top(rows + [(5000, [0.0] * 12)], 100, 10)
 
 
+def test_trees_and_blocks_do_not_go_over_the_driver(spark, mixed):
+    """A block for each shard was once made before the join, where Spark saw the size of the blocks alone and broadcast all."""
+    _, given = mixed
+    got = ball_tree.top_k(table(spark, given).repartition(3), every=2, k=10, shard=30, leaf=8, block=40, most_cells=5)
+    assert got.count() and len(got.collect()) > 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not re.search(r"BroadcastExchange|BroadcastNestedLoopJoin", plan)
+
+
 def test_top_k_small_cases(spark):
     assert ball_tree.top_k(table(spark, [])).count() == 0
     assert ball_tree.top_k(table(spark, [(0, [1.0]), (0, [2.0]), (None, [3.0])])).count() == 0
